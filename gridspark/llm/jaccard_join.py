@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join by prefix trees.
 
-1. A counting sketch of all shingles (fixed size) gives one global order of shingles, rare first.
+1. A counting sketch of all words (fixed size) gives one global order of shingles: those of rare
+   words first.  The order only decides how few sets meet, never which of them link.
 2. Each document becomes an ordered set.  Equal sets form a class, of which one represents all.
 3. Two sets of similarity ``t`` share one of their first ``n - ceil(t*n) + 1`` shingles, so the
-   classes meet in buckets by those.  Buckets with the same members count once.
+   classes meet in buckets by those, split where sizes cannot reach each other.  Buckets with the
+   same members count once.
 4. In a bucket the ordered sets form a compressed trie.  One walk carries all queries along: the
    overlap with a path is counted once for every set below it, and a query leaves a subtree when
    the rest of both sides cannot bring the overlap to what their lengths ask for.
@@ -21,29 +23,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
 from .shared import materialize
 
-#: Counters of the shingle sketch (2**20): 4 MB whatever the input; it only orders, never decides.
+#: Counters of the word sketch (2**20): 8 MB whatever the input.
 SKETCH_BITS = 20
 #: Sets of a bucket that one task holds; larger buckets are cut into blocks.
 BLOCK = 512
 _PIECES = 16
 
 
-def _sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """How many shingles fall into each counter, over all documents."""
+def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many words fall into each counter, over all documents."""
     size, bits = 1 << SKETCH_BITS, SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.uint64)
         for b in batches:
             for _, _, data, off in tb.chunks(b.column(0)):
-                h, _ = tb.shingles(tb.Words(data, off), k)
+                h = tb.Words(data, off).hash
                 total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint64)
         if total.any():
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(_PIECES), pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(total, _PIECES)]})
@@ -64,19 +66,14 @@ def _sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     return out.ravel()
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.log2(1.0 + counts) * 4).astype(np.uint8)
-
-
-def _ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Shingles as numbers that sort by how frequent they are, then by hash."""
-    return (level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
-
-
-def _sets(text: pa.Array, k: int, level: np.ndarray) -> Iterator[np.ndarray]:
+def _sets(text: pa.Array, k: int, rarity: np.ndarray) -> Iterator[np.ndarray]:
+    """The ordered set of each text: numbers that sort by how frequent a shingle's words are (8 bits), then by hash (56)."""
     for _, _, data, off in tb.chunks(text):
-        h, at = tb.shingles(tb.Words(data, off), k)
-        v = _ordered(h, level)
+        w = tb.Words(data, off)
+        h, at, place, width = tb.shingles(w, k)
+        sums = np.concatenate([[0], np.cumsum(rarity[(w.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])])
+        level = np.minimum(255, (sums[place + width] - sums[place]) * (255 / (40 * k))).astype(np.uint64)
+        v = level << np.uint64(56) | h & np.uint64((1 << 56) - 1)
         for a, b in zip(at[:-1], at[1:], strict=True):
             yield np.unique(v[a:b])
 
@@ -174,8 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     other than the two named are not read, so their names cannot clash.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    level = _levels(_sketch(docs, "text", k))
-    shared_level = docs.sparkSession.sparkContext.broadcast(level)
+    shared_level = docs.sparkSession.sparkContext.broadcast(np.rint(np.log2(1.0 + _sketch(docs, "text")) * 256) / 256)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared_level.value
@@ -191,18 +187,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
 
     kind = docs.schema["id"].dataType.simpleString()
     rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary, prefix array<bigint>"), "sets")
-    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("prefix").alias("prefix")), "classes")
-
-    emitted = classes.where("rep is not null").select("rep", "print", "copies", F.explode("prefix").alias("token"))
-    met = (
-        emitted.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
-        .where("m > 1")
-    )
+    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "classes")
+
+    # A set with `rest` shingles from this one on reaches an overlap of `rest` at most, so it can link to
+    # sets of up to `most` shingles.  Sets of a bucket in order of size fall apart where nothing before
+    # reaches the next; what is left alone links with nothing here.
+    emitted = classes.where("rep is not null").select("rep", "print", "copies", "n", F.posexplode("prefix").alias("pos", "token"))
+    most = F.least(F.col("n") * den / num, (F.col("n") - F.col("pos")) * ((num + den) / num) - F.col("n")) + 1e-6
+    by_size = Window.partitionBy("token").orderBy("n", "rep")
+    emitted = emitted.withColumn("apart", (F.max(most).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n")).cast("int"))
+    emitted = emitted.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    emitted = materialize(emitted.withColumn("next", F.lead("run").over(by_size)).withColumn("last", F.lag("run").over(by_size)).where("next = run or last = run").select("token", "run", "rep", "print", "copies"), "met")
+    met = emitted.groupBy("token", "run").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
     # The smallest shingle in the global order (unsigned) speaks for buckets with the same members.
-    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
-    met = met.groupBy("m", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), "m")
-    member = materialize(emitted.join(met, "token").select("token", "m", "rep", "print", "copies"), "buckets")
+    unsigned = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "run")
+    met = met.groupBy("m", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u.u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), F.col("u.run").alias("run"), "m")
+    member = materialize(emitted.join(met, ["token", "run"]).select("token", "run", "m", "rep", "print", "copies"), "buckets")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared_level.value
@@ -218,10 +218,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(2)), blocks.cast("bigint")).cast("int")
     cells = member.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
+    cells = cells.select("token", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, i, j), group in _groups(batches, 3):
+        for (token, _, i, j), group in _groups(batches, 4):
             own, rep, copies, raw = group
             found = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], int(np.int64(token).view(np.uint64)), num, den)
             if len(found[0]):
@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x in at]), pa.array([rep[root[x]] for x in at]), pa.array(links[at])], ["a", "b", "links"])
 
-    linked = cells.join(texts, "rep").select("token", "i", "j", "own", "rep", "copies", "set")
-    linked = linked.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
+    linked = cells.join(texts, "rep").select("token", "run", "i", "j", "own", "rep", "copies", "set")
+    linked = linked.repartition("token", "run", "i", "j").sortWithinPartitions("token", "run", "i", "j", "rep")
     linked = materialize(linked.mapInArrow(join_cells, f"a {kind}, b {kind}, links bigint"), "linked")
 
     label = components(linked.select("a", "b"))

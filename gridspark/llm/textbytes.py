@@ -98,8 +98,8 @@ class Words:
         return self.span_hash(self.start, self.end)
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``k``-word shingles of each row and their row limits.
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the ``k``-word shingles of each row, their row limits, their first words and their numbers of words.
 
     A row with fewer words, but one at least, has its whole sequence as its one shingle.
     """
@@ -114,4 +114,4 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         have = width > i
         step = h[np.minimum(place + i, max(len(h) - 1, 0))] if len(h) else np.zeros(0, np.uint64)
         acc = np.where(have, mix(acc * np.uint64(0xD6E8FEB86659FD93) + step), acc)
-    return acc, at
+    return acc, at, place, width
