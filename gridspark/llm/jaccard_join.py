@@ -32,8 +32,10 @@ from .shared import materialize
 
 #: Counters of the word sketch (2**20): 8 MB whatever the input.
 SKETCH_BITS = 20
-#: Sets of a bucket that one task holds; larger buckets are cut into blocks.
-BLOCK = 512
+#: Sets, and shingles of all its sets, that a block holds; larger buckets are cut into blocks.
+BLOCK, CELL_SHINGLES = 512, 1 << 18
+#: Ids of candidates are broadcast while they are at most so many (about 40 MB).
+MOST_BROADCAST = 1_000_000
 _PIECES = 16
 
 
@@ -97,10 +99,9 @@ def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) ->
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     has = np.zeros((m, len(universe)), dtype=bool)
     has[owner, rank] = True
-    rest = np.zeros((m, len(universe) + 1), dtype=np.int32)
-    rest[:, :-1] = np.cumsum(has[:, ::-1], axis=1, dtype=np.int32)[:, ::-1]
     first = int(np.searchsorted(universe, np.uint64(start))) if start is not None else 0
     limits = np.searchsorted(owner, np.arange(m + 1))
+    spread = owner * len(universe) + rank  # ascending: owners in order, ranks in order within each
     path = [rank[limits[i] : limits[i + 1]] for i in range(m)]
     order = sorted(range(m), key=lambda i: path[i].astype(">u4").tobytes())
     common = np.zeros(m + 1, dtype=np.int64)
@@ -126,7 +127,8 @@ def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) ->
                 alive = ~hits[:, :early].any(axis=1)
             o = o + hits.sum(axis=1)
             least, most = int(order_n[lo:hi].min()), int(order_len[lo:hi].max()) - shared
-            reach = o + np.minimum(rest[q, chain[-1] + 1], most)
+            rest = limits[q + 1] - np.searchsorted(spread, q * len(universe) + chain[-1], side="right")
+            reach = o + np.minimum(rest, most)
             alive &= (num + den) * reach >= num * (n[q] + least)
             q, o = q[alive], o[alive]
         if not len(q):
@@ -192,53 +194,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     # A set with `rest` shingles from this one on reaches an overlap of `rest` at most, so it can link to
     # sets of up to `most` shingles.  Sets of a bucket in order of size fall apart where nothing before
     # reaches the next; what is left alone links with nothing here.
-    emitted = classes.where("rep is not null").select("rep", "print", "copies", "n", F.posexplode("prefix").alias("pos", "token"))
+    emitted = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     most = F.least(F.col("n") * den / num, (F.col("n") - F.col("pos")) * ((num + den) / num) - F.col("n")) + 1e-6
     by_size = Window.partitionBy("token").orderBy("n", "rep")
     emitted = emitted.withColumn("apart", (F.max(most).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n")).cast("int"))
     emitted = emitted.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    emitted = materialize(emitted.withColumn("next", F.lead("run").over(by_size)).withColumn("last", F.lag("run").over(by_size)).where("next = run or last = run").select("token", "run", "rep", "print", "copies"), "met")
-    met = emitted.groupBy("token", "run").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
+    emitted = emitted.withColumn("next", F.lead("run").over(by_size)).withColumn("last", F.lag("run").over(by_size)).where("next = run or last = run")
+    emitted = materialize(emitted.select("token", "run", "rep", "n"), "met")
+    met = emitted.groupBy("token", "run").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("rep").alias("leader"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
     # The smallest shingle in the global order (unsigned) speaks for buckets with the same members.
     unsigned = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "run")
-    met = met.groupBy("m", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u.u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), F.col("u.run").alias("run"), "m")
-    member = materialize(emitted.join(met, ["token", "run"]).select("token", "run", "m", "rep", "print", "copies"), "buckets")
+    met = met.groupBy("m", "size", "leader", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u.u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), F.col("u.run").alias("run"), "m", "size", "leader")
+    member = materialize(emitted.join(met, ["token", "run"]).select("token", "run", "m", "size", "leader", "rep", "n"), "buckets")
+
+    # Buckets that overlap are one cell while their sets fit in a task, so most sets travel once.
+    label = components(member.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    reps = member.groupBy("rep").agg(F.any_value("n").alias("n")).join(label.withColumnRenamed("id", "rep"), "rep")
+    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"))
+    fits = (F.col("all") <= BLOCK) & (F.col("weight") <= CELL_SHINGLES)
+    reps = materialize(reps.join(whole, "label").select("rep", "label", fits.alias("fits")), "reps")
+    none, zero = F.lit(None).cast("bigint"), F.lit(0)
+    small = reps.where("fits").select("rep", F.struct("label", none.alias("token"), none.alias("run"), zero.alias("i"), zero.alias("j"), zero.alias("own")).alias("cell"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(2)), blocks.cast("bigint")).cast("int")
+    large = member.join(reps.where("not fits"), "rep").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    large = large.select("rep", F.struct("label", "token", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("cell"))
+    # A set's cells are few: its first shingles, times the blocks of their buckets.
+    cells = small.union(large).groupBy("rep").agg(F.collect_list("cell").alias("cells")).join(classes.select("rep", "print", "copies"), "rep")
+    cells = materialize(cells, "cells")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared_level.value
+        rarity = shared_level.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in _sets(b.column(2), k, level)], pa.binary())], ["rep", "print", "set"])
-
-    wanted = member.groupBy("rep").agg(F.any_value("print").alias("print"))
-    # A row of the same id with another text has another print and falls out below.
-    texts = docs.withColumnRenamed("id", "rep").join(wanted, "rep").select("rep", "print", "text")
-    texts = texts.mapInArrow(sets, f"rep {kind}, print binary, set binary")
-    texts = texts.where(_print_column("set") == F.col("print")).dropDuplicates(["rep"]).select("rep", "set")
-
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(2)), blocks.cast("bigint")).cast("int")
-    cells = member.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    cells = cells.select("token", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
+            raw = [s.tobytes() for s in _sets(b.column(4), k, rarity)]
+            # A row of the same id with another text is not this class.
+            same = pa.array([_fingerprint(r) == p for r, p in zip(raw, b.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(raw, pa.binary())], ["rep", "copies", "cells", "set"]).filter(same)
+
+    found = docs.withColumnRenamed("id", "rep")
+    if cells.count() <= MOST_BROADCAST:  # spares the other texts the shuffle
+        found = found.join(F.broadcast(cells.select("rep")), "rep", "left_semi")
+    found = found.join(cells, "rep").select("rep", "print", "copies", "cells", "text")
+    found = found.mapInArrow(sets, f"rep {kind}, copies bigint, cells {cells.schema['cells'].dataType.simpleString()}, set binary")
+    found = found.select(F.explode("cells").alias("c"), "rep", "copies", "set").select("c.*", "rep", "copies", "set")
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, _, i, j), group in _groups(batches, 4):
-            own, rep, copies, raw = group
-            found = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], int(np.int64(token).view(np.uint64)), num, den)
-            if len(found[0]):
-                q, y = found
-                if i != j:  # pairs within a block belong to the cell of that block alone
-                    own = np.array(own)
-                    apart = own[q] != own[y]
-                    q, y = q[apart], y[apart]
+        for (_, token, _, i, j), group in _groups(batches, 5):
+            once = sorted({r: x for x, r in enumerate(group[1])}.values())  # rows repeated whole
+            own, rep, copies, raw = ([c[x] for x in once] for c in group)
+            q, y = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], None if token is None else int(np.int64(token).view(np.uint64)), num, den)
+            if i != j:  # pairs within a block belong to the cell of that block alone
+                own = np.array(own)
+                apart = own[q] != own[y]
+                q, y = q[apart], y[apart]
+            if len(q):
                 root, weight, links = _local_roots(len(rep), q, y), np.array(copies, dtype=np.int64), np.zeros(len(rep), dtype=np.int64)
                 np.add.at(links, q, weight[y])
                 np.add.at(links, y, weight[q])
                 at = np.flatnonzero(links)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x in at]), pa.array([rep[root[x]] for x in at]), pa.array(links[at])], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x in at]), pa.array([rep[root[x]] for x in at]), pa.array(links[at])], ["a", "b", "links"])
 
-    linked = cells.join(texts, "rep").select("token", "run", "i", "j", "own", "rep", "copies", "set")
-    linked = linked.repartition("token", "run", "i", "j").sortWithinPartitions("token", "run", "i", "j", "rep")
+    key = ["label", "token", "run", "i", "j"]
+    linked = found.repartition(*key).sortWithinPartitions(*key, "rep").select(*key, "own", "rep", "copies", "set")
     linked = materialize(linked.mapInArrow(join_cells, f"a {kind}, b {kind}, links bigint"), "linked")
 
     label = components(linked.select("a", "b"))
@@ -262,10 +279,6 @@ def _fingerprint(raw: bytes) -> bytes:
     return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
-def _print_column(name: str):
-    return F.unhex(F.md5(name))
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
     """Runs of rows with equal first ``keys`` columns, from batches sorted by them."""
     now, held = None, None
