@@ -33,7 +33,7 @@ from .shared import materialize
 #: Counters of the word sketch (2**20): 8 MB whatever the input.
 SKETCH_BITS = 20
 #: Sets, and shingles of all its sets, that a block holds; larger buckets are cut into blocks.
-BLOCK, CELL_SHINGLES = 512, 1 << 18
+BLOCK, CELL_SHINGLES = 512, 1 << 17
 #: Ids of candidates are broadcast while they are at most so many (about 40 MB).
 MOST_BROADCAST = 1_000_000
 _PIECES = 16
@@ -207,18 +207,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     met = met.groupBy("m", "size", "leader", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u.u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), F.col("u.run").alias("run"), "m", "size", "leader")
     member = materialize(emitted.join(met, ["token", "run"]).select("token", "run", "m", "size", "leader", "rep", "n"), "buckets")
 
-    # Buckets that overlap are one cell while their sets fit in a task, so most sets travel once.
+    # Sets of overlapping buckets meet in one cell while they fit in a task.  Beyond that either the whole
+    # or each bucket is cut into blocks that meet two by two, whichever sends fewer copies of sets.
+    def cut(sets: str, size: str):
+        return F.greatest(F.ceil(F.col(sets) / BLOCK), F.ceil(F.col(size) / CELL_SHINGLES)).cast("int")
+
     label = components(member.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    reps = member.groupBy("rep").agg(F.any_value("n").alias("n")).join(label.withColumnRenamed("id", "rep"), "rep")
-    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"))
-    fits = (F.col("all") <= BLOCK) & (F.col("weight") <= CELL_SHINGLES)
-    reps = materialize(reps.join(whole, "label").select("rep", "label", fits.alias("fits")), "reps")
-    none, zero = F.lit(None).cast("bigint"), F.lit(0)
-    small = reps.where("fits").select("rep", F.struct("label", none.alias("token"), none.alias("run"), zero.alias("i"), zero.alias("j"), zero.alias("own")).alias("cell"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(2)), blocks.cast("bigint")).cast("int")
-    large = member.join(reps.where("not fits"), "rep").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    large = large.select("rep", F.struct("label", "token", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("cell"))
+    sent = member.withColumn("sent", cut("m", "size").cast("bigint")).groupBy("rep").agg(F.any_value("n").alias("n"), F.sum("sent").alias("sent"))
+    reps = materialize(sent.join(label.withColumnRenamed("id", "rep"), "rep"), "labelled")
+    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"), F.sum("sent").alias("sent"))
+    whole = whole.select("label", cut("all", "weight").alias("blocks"), (F.col("all") * cut("all", "weight") <= F.col("sent")).alias("joint"))
+    reps = materialize(reps.select("rep", "label").join(whole, "label"), "reps")
+
+    def spread(rows: DataFrame, token, run) -> DataFrame:
+        own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("bigint")).cast("int")
+        rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+        return rows.select("rep", F.struct("label", token.alias("token"), run.alias("run"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("cell"))
+
+    none = F.lit(None).cast("bigint")
+    small = spread(reps.where("joint"), none, none)
+    large = spread(member.join(reps.where("not joint").select("rep", "label"), "rep").withColumn("blocks", cut("m", "size")), F.col("token"), F.col("run"))
     # A set's cells are few: its first shingles, times the blocks of their buckets.
     cells = small.union(large).groupBy("rep").agg(F.collect_list("cell").alias("cells")).join(classes.select("rep", "print", "copies"), "rep")
     cells = materialize(cells, "cells")
