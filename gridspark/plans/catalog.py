@@ -15,6 +15,7 @@ from ..operators import spatial, timeops
 from ..registry import registry
 from .. import sources
 
+#: The cubes that the queries are made on.
 _X, _Y = "CAST(-157.5 AS DOUBLE) + 45 * (l_suppkey % 8)", "CAST(-67.5 AS DOUBLE) + 45 * (l_partkey % 4)"
 OBS = f"SELECT l_returnflag AS name, CAST(l_shipdate AS DATE) AS time, {_X} AS x, {_Y} AS y, l_quantity AS value FROM lineitem"
 CUBE = f"SELECT name, CAST(date_trunc('month', time) AS DATE) AS time, x, y, avg(value) AS value FROM ({OBS}) AS o GROUP BY 1, 2, 3, 4"
@@ -302,17 +303,20 @@ def _axis_sql(c: str, t: str) -> str:
 
 
 _LINEAR = f"WITH ax AS ({_axis_sql('x', _TX)}), ay AS ({_axis_sql('y', _TY)}), wx AS (SELECT name, o, lo AS x, 1 - f AS w FROM ax UNION ALL SELECT name, o, hi, f FROM ax), wy AS (SELECT name, o, lo AS y, 1 - f AS w FROM ay UNION ALL SELECT name, o, hi, f FROM ay) SELECT c.name, c.time, wx.o AS x, wy.o AS y, CASE WHEN count(c.value) = 4 THEN round(sum(c.value * wx.w * wy.w), 6) END AS value FROM cube c JOIN wx ON c.name = wx.name AND c.x = wx.x JOIN wy ON c.name = wy.name AND c.y = wy.y GROUP BY 1, 2, 3, 4"
-_ROUND = F.round("value", 6)
+
+
+def _rounded():
+    return F.round("value", 6)
 
 
 def _regrid(method: str):
-    return lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), _target(spark), method).withColumn("value", _ROUND)
+    return lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), _target(spark), method).withColumn("value", _rounded())
 
 
 query(_LINEAR, name="regrid_linear")(_regrid("linear"))
 query(_LINEAR, name="regrid_bilinear")(_regrid("bilinear"))
 query(f"WITH ax AS ({_axis_sql('x', _TX)}), ay AS ({_axis_sql('y', _TY)}), wx AS (SELECT name, o, CASE WHEN f <= 0.5 THEN lo ELSE hi END AS x FROM ax), wy AS (SELECT name, o, CASE WHEN f <= 0.5 THEN lo ELSE hi END AS y FROM ay) SELECT c.name, c.time, wx.o AS x, wy.o AS y, round(c.value, 6) AS value FROM cube c JOIN wx ON c.name = wx.name AND c.x = wx.x JOIN wy ON c.name = wy.name AND c.y = wy.y", name="regrid_nearest")(_regrid("nearest"))
-query("SELECT name, time, x, y, round(value, 6) AS value FROM cube", name="regrid_same_grid")(lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), view(spark, sf_dir, "cube").select("x", "y").distinct(), "nearest").withColumn("value", _ROUND))
+query("SELECT name, time, x, y, round(value, 6) AS value FROM cube", name="regrid_same_grid")(lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), view(spark, sf_dir, "cube").select("x", "y").distinct(), "nearest").withColumn("value", _rounded()))
 
 
 def _edges_sql(c: str, table: str, part: str, lim: tuple[float, float]) -> str:
@@ -322,9 +326,9 @@ def _edges_sql(c: str, table: str, part: str, lim: tuple[float, float]) -> str:
 
 _CX, _CY = "(SELECT CAST(-150 AS DOUBLE) + 60 * unnest(generate_series(0, 5)) AS x)", "(SELECT CAST(-60 AS DOUBLE) + 60 * unnest(generate_series(0, 2)) AS y)"
 query(
-    f"WITH sx AS ({_edges_sql('x', '(SELECT DISTINCT name, x FROM cube) AS q', 'name', (-1e9, 1e9))}), sy AS ({_edges_sql('y', '(SELECT DISTINCT name, y FROM cube) AS q', 'name', (-90.0, 90.0))}), tx AS ({_edges_sql('x', _CX + ' AS q', '', (-1e9, 1e9))}), ty AS ({_edges_sql('y', _CY + ' AS q', '', (-90.0, 90.0))}), wx AS (SELECT name, sx.x, tx.x AS o, least(sx.hi, tx.hi) - greatest(sx.lo, tx.lo) AS w FROM sx JOIN tx ON sx.lo < tx.hi AND tx.lo < sx.hi), wy AS (SELECT name, sy.y, ty.y AS o, sin(radians(least(sy.hi, ty.hi))) - sin(radians(greatest(sy.lo, ty.lo))) AS w FROM sy JOIN ty ON sy.lo < ty.hi AND ty.lo < sy.hi) SELECT c.name, c.time, wx.o AS x, wy.o AS y, round(sum(c.value * wx.w * wy.w) / sum(wx.w * wy.w), 6) AS value FROM cube c JOIN wx ON c.name = wx.name AND c.x = wx.x JOIN wy ON c.name = wy.name AND c.y = wy.y GROUP BY 1, 2, 3, 4",
+    f"WITH sx AS ({_edges_sql('x', '(SELECT DISTINCT name, x FROM cube) AS q', 'name', (-1e9, 1e9))}), sy AS ({_edges_sql('y', '(SELECT DISTINCT name, y FROM cube) AS q', 'name', (-90.0, 90.0))}), tx AS ({_edges_sql('x', _CX + ' AS q', '', (-1e9, 1e9))}), ty AS ({_edges_sql('y', _CY + ' AS q', '', (-90.0, 90.0))}), wx AS (SELECT name, sx.x, tx.x AS o, least(sx.hi, tx.hi) - greatest(sx.lo, tx.lo) AS w FROM sx JOIN tx ON sx.lo < tx.hi AND tx.lo < sx.hi), wy AS (SELECT name, sy.y, ty.y AS o, sin(radians(least(sy.hi, ty.hi))) - sin(radians(greatest(sy.lo, ty.lo))) AS w FROM sy JOIN ty ON sy.lo < ty.hi AND ty.lo < sy.hi) SELECT c.name, c.time, wx.o AS x, wy.o AS y, round(sum(c.value * wx.w * wy.w) / sum(wx.w * wy.w), 9) AS value FROM cube c JOIN wx ON c.name = wx.name AND c.x = wx.x JOIN wy ON c.name = wy.name AND c.y = wy.y GROUP BY 1, 2, 3, 4",
     name="regrid_conservative",
-)(lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), rg.grid_from_res(spark, (60, 60), (-150, 210), (-60, 120)), "conservative").withColumn("value", _ROUND))
+)(lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), rg.grid_from_res(spark, (60, 60), (-150, 210), (-60, 120)), "conservative").withColumn("value", F.round("value", 9)))
 _NEAR = [(-157.3, -67.4), (-157.5, -67.2), (-100.0, 0.0), (22.4, 22.6)]
 
 
@@ -342,7 +346,7 @@ def _pick(c: str, t: str, by: str) -> str:
 
 for _key, _by in (("s2d", "o"), ("d2s", "x")):
     query(f"WITH px AS ({_pick('x', _TX, _by)}), py AS ({_pick('y', _TY, _by)}) SELECT c.name, c.time, px.o AS x, py.o AS y, round(sum(c.value), 6) AS value FROM cube c JOIN px ON c.name = px.name AND c.x = px.x JOIN py ON c.name = py.name AND c.y = py.x GROUP BY 1, 2, 3, 4", name=f"regrid_nearest_{_key}")(
-        lambda spark, sf_dir, k=_key: rg.nearest_grid(view(spark, sf_dir, "cube"), _target(spark), k).withColumn("value", _ROUND)
+        lambda spark, sf_dir, k=_key: rg.nearest_grid(view(spark, sf_dir, "cube"), _target(spark), k).withColumn("value", _rounded())
     )
 
 # --- ensembles ---------------------------------------------------------------------------------------------------
@@ -350,8 +354,8 @@ for _key, _by in (("s2d", "o"), ("d2s", "x")):
 on("cube", "SELECT name, 'all' AS bundle, time, x, y, value FROM cube", "bundle", lambda c: Ensemble(c, NAMES).bundle("all").cells)
 on("cube", "SELECT name, CASE WHEN name IN ('A', 'N') THEN 'two' END AS bundle, time, x, y, value FROM cube", "bundle_partial", lambda c: Ensemble(c, NAMES).bundle(two=["A", "N"]).cells)
 on("cube", "SELECT name, CASE WHEN name = 'R' THEN 'one' END AS bundle, time, x, y, value FROM cube", "unbundle", lambda c: Ensemble(c, NAMES).bundle(two=["A", "N"], one=["R"]).unbundle("two").cells)
-on("cube", "SELECT name, time, x, y, round(value, 6) AS value FROM cube UNION ALL SELECT 'ENS', time, x, y, round(avg(value), 6) FROM cube GROUP BY time, x, y", "add_mean", lambda c: Ensemble(c, NAMES).bundle("all").add_mean("all").cells.select("name", "time", "x", "y", _ROUND.alias("value")))
-on("cube", "SELECT name, x, y, round(avg(value), 6) AS value FROM cube GROUP BY name, x, y", "climatology", lambda c: Ensemble(c, NAMES).climatology().withColumn("value", _ROUND))
+on("cube", "SELECT name, time, x, y, round(value, 6) AS value FROM cube UNION ALL SELECT 'ENS', time, x, y, round(avg(value), 6) FROM cube GROUP BY time, x, y", "add_mean", lambda c: Ensemble(c, NAMES).bundle("all").add_mean("all").cells.select("name", "time", "x", "y", _rounded().alias("value")))
+on("cube", "SELECT name, x, y, round(avg(value), 6) AS value FROM cube GROUP BY name, x, y", "climatology", lambda c: Ensemble(c, NAMES).climatology().withColumn("value", _rounded()))
 on("cube", "SELECT c.name, c.time, c.x, c.y, c.value - r.value AS value FROM cube c LEFT JOIN cube r ON r.name = 'A' AND r.time = c.time AND r.x = c.x AND r.y = c.y WHERE c.name <> 'A' UNION ALL SELECT name, time, x, y, value FROM cube WHERE name = 'A'", "metric_bias", lambda c: Ensemble(c, NAMES).apply_metric(bias, "A").cells.drop("bundle"))
 on("cube", "SELECT c.name, c.time, c.x, c.y, c.value - r.value AS value FROM cube c LEFT JOIN cube r ON r.name = 'A' AND r.time = c.time AND r.x = c.x AND r.y = c.y", "metric_bias_along_labels", lambda c: Ensemble(c, NAMES).apply_metric(bias, "A", along_labels=True).cells.drop("bundle"))
 on("cube", "SELECT name, time, x, y, CASE WHEN name = 'N' THEN value * 2 ELSE value END AS value FROM cube", "apply_on_labels", lambda c: Ensemble(c, NAMES).apply_on_labels(lambda d: d.withColumn("value", F.col("value") * 2), "N").cells.drop("bundle"))
@@ -376,10 +380,10 @@ _CHAIN = (
 
 @query(_CHAIN + " SELECT name, time, x, y, round(value, 6) AS value FROM h")
 def homogenize(spark, sf_dir):
-    return _homogenized(spark, sf_dir).cells.select("name", "time", "x", "y", _ROUND.alias("value"))
+    return _homogenized(spark, sf_dir).cells.select("name", "time", "x", "y", _rounded().alias("value"))
 
 
 @query(_CHAIN + ", m AS (SELECT * FROM h UNION ALL SELECT 'ENS', time, x, y, avg(value) FROM h GROUP BY time, x, y) SELECT name, x, y, round(avg(value), 6) AS value FROM m GROUP BY name, x, y")
 def flagship(spark, sf_dir):
     """Homogenised, bundled, with the ensemble mean, as a climatology."""
-    return _homogenized(spark, sf_dir).bundle("all").add_mean("all").climatology().withColumn("value", _ROUND)
+    return _homogenized(spark, sf_dir).bundle("all").add_mean("all").climatology().withColumn("value", _rounded())
