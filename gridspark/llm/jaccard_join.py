@@ -1,19 +1,20 @@
 """N-gram Jaccard self-join by prefix trees.
 
 1. A counting sketch of all words (fixed size) gives one global order of shingles: those of rare
-   words first.  The order only decides how few sets meet, never which of them link.
+   words first.  The order only decides how soon the walk prunes, never which sets link.
 2. Each document becomes an ordered set.  Equal sets form a class, of which one represents all.
-3. Two sets of similarity ``t`` share one of their first ``n - ceil(t*n) + 1`` shingles, so the
-   classes meet in buckets by those, split where sizes cannot reach each other.  Buckets with the
-   same members count once.
-4. In a bucket the ordered sets form a compressed trie.  One walk carries all queries along: the
+3. Sets that link differ in at most ``most`` shingles, which their sizes tell.  A hash deals all
+   shingles to more than ``most`` parts, so some part of both is equal: classes with an equal part
+   are candidates, and the components of candidates are the groups that a trie has to hold.
+4. In a group the ordered sets form a compressed trie.  One walk carries all queries along: the
    overlap with a path is counted once for every set below it, and a query leaves a subtree when
    the rest of both sides cannot bring the overlap to what their lengths ask for.
 5. Components of the links give the groups.
 
-A bucket of more than ``BLOCK`` sets is cut into blocks that meet two by two in tasks of their own.
-Links are never written out: a task returns, for each set, how many documents it links to and the
-smallest id in its part, so the output is linear in the bucket however dense the links are.
+A group beyond ``BLOCK`` sets or ``CELL_SHINGLES`` shingles is cut into blocks that meet two by two
+in tasks of their own.  Links are never written out: a task returns, for each set, how many
+documents it links to and the smallest id in its part, so the output is linear in the group however
+dense the links are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -32,8 +33,10 @@ from .shared import materialize
 
 #: Counters of the word sketch (2**20): 8 MB whatever the input.
 SKETCH_BITS = 20
-#: Sets, and shingles of all its sets, that a block holds; larger buckets are cut into blocks.
-BLOCK, CELL_SHINGLES = 512, 1 << 17
+#: Sets, and shingles of all its sets, that a block holds; larger groups are cut into blocks.
+BLOCK, CELL_SHINGLES = 512, 1 << 20
+#: Bytes of a walk's table of sets by shared shingles; beyond that a task walks its sets in parts.
+WALK_BYTES = 1 << 27
 #: Ids of candidates are broadcast while they are at most so many (about 40 MB).
 MOST_BROADCAST = 1_000_000
 _PIECES = 16
@@ -80,10 +83,44 @@ def _sets(text: pa.Array, k: int, rarity: np.ndarray) -> Iterator[np.ndarray]:
             yield np.unique(v[a:b])
 
 
-def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def size_classes(num: int, den: int) -> np.ndarray:
+    """Least sizes of classes so wide that sets link within one or with the next only."""
+    at = [1]
+    while at[-1] < 1 << 40:
+        at.append(max(at[-1] + 1, -(-at[-1] * den // num)))
+    return np.array(at, dtype=np.int64)
+
+
+def signatures(s: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the parts of a set, of which two different sets that link have one in common.
+
+    Sets of a class and of the one below differ in at most ``most`` shingles if they link.  Of
+    ``most + 1 + spare`` parts, ``1 + spare`` at least are then equal.  A set of at most ``spare`` empty
+    parts shares one that is not empty, so only a set with more of them needs its empty parts.
+    """
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    c = int(np.searchsorted(classes, len(s), side="right")) - 1
+    u = np.sort(tb.mix(s))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(u), dtype=np.uint64)])
+    out = [np.zeros(0, np.uint64)]
+    for scheme in (c, c + 1):
+        most = 2 * (int(classes[scheme + 1]) - 1) * (den - num) // (den + num)
+        if not most:  # only equal sets link, and those are one class
+            continue
+        spare = 1 + most // 200
+        parts = most + 1 + spare
+        part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        full = at[1:] > at[:-1]
+        x = tb.mix((sums[at[1:]] - sums[at[:-1]]) ^ tb.mix(np.arange(parts, dtype=np.uint64) + np.uint64(scheme << 40)))
+        out.append(x[full] if parts - int(full.sum()) <= spare else x)
+    return np.concatenate(out)
+
+
+def trie_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (query, stored) with ``den * shared >= num * union``, each pair once (query < stored).
 
-    ``start``: only pairs whose first common shingle is this one (None: any pair with a common one).
     Empty sets link with nothing.
     """
     m = len(sets)
@@ -97,9 +134,10 @@ def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) ->
     rank, owner, universe = place[rank[kept]], owner[kept], universe[df > 1]
     if not len(universe):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if m > 2 and m * len(universe) > WALK_BYTES:
+        return _in_parts(sets, num, den, min(m, 2 * int(np.ceil(np.sqrt(m * len(universe) / WALK_BYTES)))))
     has = np.zeros((m, len(universe)), dtype=bool)
     has[owner, rank] = True
-    first = int(np.searchsorted(universe, np.uint64(start))) if start is not None else 0
     limits = np.searchsorted(owner, np.arange(m + 1))
     spread = owner * len(universe) + rank  # ascending: owners in order, ranks in order within each
     path = [rank[limits[i] : limits[i + 1]] for i in range(m)]
@@ -121,15 +159,11 @@ def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) ->
         chain = path[order[lo]][depth:shared]
         if len(chain):
             hits = has[np.ix_(q, chain)]
-            early = int(np.searchsorted(chain, first))
-            alive = np.ones(len(q), dtype=bool)
-            if early:
-                alive = ~hits[:, :early].any(axis=1)
             o = o + hits.sum(axis=1)
             least, most = int(order_n[lo:hi].min()), int(order_len[lo:hi].max()) - shared
             rest = limits[q + 1] - np.searchsorted(spread, q * len(universe) + chain[-1], side="right")
             reach = o + np.minimum(rest, most)
-            alive &= (num + den) * reach >= num * (n[q] + least)
+            alive = (num + den) * reach >= num * (n[q] + least)
             q, o = q[alive], o[alive]
         if not len(q):
             continue
@@ -149,6 +183,20 @@ def trie_links(sets: list[np.ndarray], start: int | None, num: int, den: int) ->
     return (np.concatenate(found_q), np.concatenate(found_y)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _in_parts(sets: list[np.ndarray], num: int, den: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``trie_links`` of parts two by two, each pair of sets in one walk."""
+    at = [np.arange(len(sets))[k::parts] for k in range(parts)]
+    found = []
+    for k, mine in enumerate(at):
+        for other in at[k:] if len(mine) else ():
+            both = mine if other is mine else np.sort(np.concatenate([mine, other]))
+            q, y = trie_links([sets[x] for x in both], num, den)
+            q, y = both[q], both[y]
+            keep = (q % parts != y % parts) if other is not mine else np.ones(len(q), dtype=bool)
+            found.append((q[keep], y[keep]))
+    return np.concatenate([q for q, _ in found]), np.concatenate([y for _, y in found])
+
+
 def _local_roots(m: int, q: np.ndarray, y: np.ndarray) -> np.ndarray:
     label = np.arange(m)
     while True:
@@ -175,82 +223,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared_level = docs.sparkSession.sparkContext.broadcast(np.rint(np.log2(1.0 + _sketch(docs, "text")) * 256) / 256)
 
+    limits = size_classes(num, den)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared_level.value
         for b in batches:
-            n, print_, prefix = [], [], []
+            n, print_, parts = [], [], []
             for s in _sets(b.column(1), k, level):
                 n.append(len(s))
-                raw = s.tobytes()
-                print_.append(_fingerprint(raw) if raw else None)
-                keep = len(s) - -(-num * len(s) // den) + 1 if len(s) * (den - num) >= num else 0
-                prefix.append(s[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "print", "prefix"])
+                print_.append(_fingerprint(s.tobytes()) if len(s) else None)
+                parts.append(signatures(s, limits, num, den).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["id", "n", "print", "parts"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary, prefix array<bigint>"), "sets")
-    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "classes")
-
-    # A set with `rest` shingles from this one on reaches an overlap of `rest` at most, so it can link to
-    # sets of up to `most` shingles.  Sets of a bucket in order of size fall apart where nothing before
-    # reaches the next; what is left alone links with nothing here.
-    emitted = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    most = F.least(F.col("n") * den / num, (F.col("n") - F.col("pos")) * ((num + den) / num) - F.col("n")) + 1e-6
-    by_size = Window.partitionBy("token").orderBy("n", "rep")
-    emitted = emitted.withColumn("apart", (F.max(most).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n")).cast("int"))
-    emitted = emitted.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    emitted = emitted.withColumn("next", F.lead("run").over(by_size)).withColumn("last", F.lag("run").over(by_size)).where("next = run or last = run")
-    emitted = materialize(emitted.select("token", "run", "rep", "n"), "met")
-    met = emitted.groupBy("token", "run").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("rep").alias("leader"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
-    # The smallest shingle in the global order (unsigned) speaks for buckets with the same members.
-    unsigned = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "run")
-    met = met.groupBy("m", "size", "leader", "s", "x").agg(F.min(unsigned).alias("u")).select(F.col("u.u").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), F.col("u.run").alias("run"), "m", "size", "leader")
-    member = materialize(emitted.join(met, ["token", "run"]).select("token", "run", "m", "size", "leader", "rep", "n"), "buckets")
-
-    # Sets of overlapping buckets meet in one cell while they fit in a task.  Beyond that either the whole
-    # or each bucket is cut into blocks that meet two by two, whichever sends fewer copies of sets.
-    def cut(sets: str, size: str):
-        return F.greatest(F.ceil(F.col(sets) / BLOCK), F.ceil(F.col(size) / CELL_SHINGLES)).cast("int")
-
-    label = components(member.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    sent = member.withColumn("sent", cut("m", "size").cast("bigint")).groupBy("rep").agg(F.any_value("n").alias("n"), F.sum("sent").alias("sent"))
-    reps = materialize(sent.join(label.withColumnRenamed("id", "rep"), "rep"), "labelled")
-    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"), F.sum("sent").alias("sent"))
-    whole = whole.select("label", cut("all", "weight").alias("blocks"), (F.col("all") * cut("all", "weight") <= F.col("sent")).alias("joint"))
-    reps = materialize(reps.select("rep", "label").join(whole, "label"), "reps")
-
-    def spread(rows: DataFrame, token, run) -> DataFrame:
-        own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("bigint")).cast("int")
-        rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-        return rows.select("rep", F.struct("label", token.alias("token"), run.alias("run"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("cell"))
-
-    none = F.lit(None).cast("bigint")
-    small = spread(reps.where("joint"), none, none)
-    large = spread(member.join(reps.where("not joint").select("rep", "label"), "rep").withColumn("blocks", cut("m", "size")), F.col("token"), F.col("run"))
-    # A set's cells are few: its first shingles, times the blocks of their buckets.
-    cells = small.union(large).groupBy("rep").agg(F.collect_list("cell").alias("cells")).join(classes.select("rep", "print", "copies"), "rep")
-    cells = materialize(cells, "cells")
+    rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary, parts array<bigint>"), "sets")
+    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts")), "classes")
+
+    emitted = classes.where("rep is not null").select("rep", F.explode("parts").alias("part"))
+    met = emitted.groupBy("part").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("part", "leader")
+    pairs = materialize(emitted.join(met, "part").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "candidates")
+    label = components(pairs).withColumnRenamed("id", "rep")
+    reps = materialize(label.join(classes.select("rep", "print", "copies", "n"), "rep"), "labelled")
+    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"))
+    whole = whole.select("label", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("weight") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    reps = materialize(reps.join(whole, "label").select("rep", "print", "copies", "label", "blocks"), "reps")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared_level.value
         for b in batches:
-            raw = [s.tobytes() for s in _sets(b.column(4), k, rarity)]
+            raw = [s.tobytes() for s in _sets(b.column(5), k, rarity)]
             # A row of the same id with another text is not this class.
             same = pa.array([_fingerprint(r) == p for r, p in zip(raw, b.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(raw, pa.binary())], ["rep", "copies", "cells", "set"]).filter(same)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(raw, pa.binary())], ["rep", "copies", "label", "blocks", "set"]).filter(same)
 
     found = docs.withColumnRenamed("id", "rep")
-    if cells.count() <= MOST_BROADCAST:  # spares the other texts the shuffle
-        found = found.join(F.broadcast(cells.select("rep")), "rep", "left_semi")
-    found = found.join(cells, "rep").select("rep", "print", "copies", "cells", "text")
-    found = found.mapInArrow(sets, f"rep {kind}, copies bigint, cells {cells.schema['cells'].dataType.simpleString()}, set binary")
-    found = found.select(F.explode("cells").alias("c"), "rep", "copies", "set").select("c.*", "rep", "copies", "set")
+    if reps.count() <= MOST_BROADCAST:  # spares the other texts the shuffle
+        found = found.join(F.broadcast(reps.select("rep")), "rep", "left_semi")
+    found = found.join(reps, "rep").select("rep", "print", "copies", "label", "blocks", "text")
+    found = found.mapInArrow(sets, f"rep {kind}, copies bigint, label {kind}, blocks int, set binary")
+    own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("bigint")).cast("int")
+    found = found.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    found = found.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "set")
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, token, _, i, j), group in _groups(batches, 5):
+        for (_, i, j), group in _groups(batches, 3):
             once = sorted({r: x for x, r in enumerate(group[1])}.values())  # rows repeated whole
             own, rep, copies, raw = ([c[x] for x in once] for c in group)
-            q, y = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], None if token is None else int(np.int64(token).view(np.uint64)), num, den)
+            q, y = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], num, den)
             if i != j:  # pairs within a block belong to the cell of that block alone
                 own = np.array(own)
                 apart = own[q] != own[y]
@@ -262,8 +281,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
                 at = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x in at]), pa.array([rep[root[x]] for x in at]), pa.array(links[at])], ["a", "b", "links"])
 
-    key = ["label", "token", "run", "i", "j"]
-    linked = found.repartition(*key).sortWithinPartitions(*key, "rep").select(*key, "own", "rep", "copies", "set")
+    key = ["label", "i", "j"]
+    linked = found.repartition(*key).sortWithinPartitions(*key, "rep")
     linked = materialize(linked.mapInArrow(join_cells, f"a {kind}, b {kind}, links bigint"), "linked")
 
     label = components(linked.select("a", "b"))

@@ -47,6 +47,31 @@ def brute(rows, k, num, den):
     return out
 
 
+def test_sets_that_link_share_a_part():
+    rnd = np.random.default_rng(7)
+    for num, den in ((9, 10), (4, 5)):
+        classes = jaccard_join.size_classes(num, den)
+        for n in [*range(1, 60), 300, 2500]:
+            for _ in range(20):
+                a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+                gone = int(rnd.integers(0, max(1, n * (den - num) // den) + 1))
+                b = np.concatenate([a[gone:], rnd.integers(0, 1 << 63, int(rnd.integers(0, gone + 2)), dtype=np.uint64)])
+                a, b = np.unique(a), np.unique(b)
+                o = len(np.intersect1d(a, b))
+                if den * o >= num * (len(a) + len(b) - o) and len(a) + len(b) > 2 * o:
+                    assert len(np.intersect1d(*(jaccard_join.signatures(x, classes, num, den) for x in (a, b))))
+
+
+def test_a_walk_in_parts_finds_the_same_links(monkeypatch):
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 63, 80, dtype=np.uint64)
+    sets = [np.unique(np.where(rnd.random(80) < 0.04, rnd.integers(0, 40, 80, dtype=np.uint64), base)) for _ in range(90)]
+    whole = sorted(zip(*jaccard_join.trie_links(sets, 9, 10), strict=True))
+    monkeypatch.setattr(jaccard_join, "WALK_BYTES", 500)
+    assert whole and sorted(zip(*jaccard_join.trie_links(sets, 9, 10), strict=True)) == whole
+    assert len(jaccard_join.trie_links(sets[:3], 1, 10)[0]) == 3
+
+
 @pytest.mark.parametrize("block", [512, 64])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
