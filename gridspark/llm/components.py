@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Fewer ``edges(a, b)`` of the same components: ``a`` keeps its smallest ``b``, to which its others link.
+
+    An ``a`` may have only a bounded number of different ``b``; a ``b`` may have any number of ``a``.
+    """
+    met = edges.where("a <> b").select("a", "b").distinct().groupBy("a").agg(F.collect_set("b").alias("met"))
+    met = materialize(met.withColumn("hook", F.array_min("met")), "met")
+    others = met.select(F.explode("met").alias("a"), F.col("hook").alias("b")).where("a <> b")
+    return met.select("a", F.col("hook").alias("b")).union(others).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(id, label)``: the smallest id that each end reaches.
 

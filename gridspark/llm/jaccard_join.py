@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .components import components
+from .components import components, contract
 from .shared import materialize
 
 #: Counters of the word sketch (2**20): 8 MB whatever the input.
@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
 
     emitted = classes.where("rep is not null").select("rep", F.explode("parts").alias("part"))
     met = emitted.groupBy("part").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("part", "leader")
-    pairs = materialize(emitted.join(met, "part").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "candidates")
+    # A set has no more leaders than parts.
+    pairs = contract(emitted.join(met, "part").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     label = components(pairs).withColumnRenamed("id", "rep")
     reps = materialize(label.join(classes.select("rep", "print", "copies", "n"), "rep"), "labelled")
     whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"))
@@ -285,7 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     linked = found.repartition(*key).sortWithinPartitions(*key, "rep")
     linked = materialize(linked.mapInArrow(join_cells, f"a {kind}, b {kind}, links bigint"), "linked")
 
-    label = components(linked.select("a", "b"))
+    # A set has at most one root in each of its cells.
+    label = components(contract(linked.select("a", "b")))
     degree = linked.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of_rep = label.join(degree, "id", "left").select(F.col("id").alias("rep"), "label", "links")
     of_class = classes.select("print", "rep", "copies").join(of_rep, "rep", "left")
