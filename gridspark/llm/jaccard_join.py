@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join by prefix trees.
 
-1. A counting sketch of all words (fixed size) gives one global order of shingles: those of rare
-   words first.  The order only decides how soon the walk prunes, never which sets link.
-2. Each document becomes an ordered set.  Equal sets form a class, of which one represents all.
-3. Sets that link differ in at most ``most`` shingles, which their sizes tell.  A hash deals all
-   shingles to more than ``most`` parts, so some part of both is equal: classes with an equal part
-   are candidates, and the components of candidates are the groups that a trie has to hold.
+1. Equal sets form a class, of which one represents all.
+2. How many classes hold a shingle, to the power of two above, and then its hash, is the global order
+   of shingles.  Counts (to 255 in a block) may be raised by hash collisions, never lost: blocks of
+   texts send sorted 48-bit keys to the buckets that count them and get the levels back.
+3. Two sets that link share a shingle among the first ``n - ceil(n * num / den) + 1`` of both, so a
+   set with that many shingles of its own alone links with none, and is left here.  For the others,
+   the shared shingles of that prefix tell the candidates; the components of candidates are the
+   groups that a trie has to hold.
 4. In a group the ordered sets form a compressed trie.  One walk carries all queries along: the
    overlap with a path is counted once for every set below it, and a query leaves a subtree when
    the rest of both sides cannot bring the overlap to what their lengths ask for.
@@ -31,111 +33,88 @@ from . import textbytes as tb
 from .components import components, contract
 from .shared import materialize
 
-#: Counters of the word sketch (2**20): 8 MB whatever the input.
-SKETCH_BITS = 20
+#: Bytes of text packed into a block, of which a longer text makes one of its own.
+BLOCK_TEXT = 1 << 20
+#: Shingles that a bucket of the count holds, and the least number of buckets.
+BUCKET_SHINGLES, LEAST_BUCKETS = 1 << 20, 256
 #: Sets, and shingles of all its sets, that a block holds; larger groups are cut into blocks.
 BLOCK, CELL_SHINGLES = 512, 1 << 20
 #: Bytes of a walk's table of sets by shared shingles; beyond that a task walks its sets in parts.
 WALK_BYTES = 1 << 27
 #: Ids of candidates are broadcast while they are at most so many (about 40 MB).
 MOST_BROADCAST = 1_000_000
-_PIECES = 16
+#: Bits of a shingle's hash that are counted.
+_KEY_BITS = 48
 
 
-def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How many words fall into each counter, over all documents."""
-    size, bits = 1 << SKETCH_BITS, SKETCH_BITS
+def _sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The hashes of the distinct shingles of each text, ascending."""
+    for _, _, data, off in tb.chunks(text):
+        h, at, _, _ = tb.shingles(tb.Words(data, off), k)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(h[a:b])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint64)
-        for b in batches:
-            for _, _, data, off in tb.chunks(b.column(0)):
-                h = tb.Words(data, off).hash
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint64)
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(_PIECES), pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(total, _PIECES)]})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for piece, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(raw), dtype=np.uint64)
-                sums[piece] = sums[piece] + x if piece in sums else x
-        if sums:
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
 
-    schema = "piece int, counts binary"
-    out = np.zeros((_PIECES, size // _PIECES), dtype=np.uint64)
-    for row in docs.select(text_col).mapInArrow(count, schema).repartition(_PIECES, "piece").mapInArrow(add, schema).collect():
-        out[row.piece] += np.frombuffer(zlib.decompress(row.counts), dtype=np.uint64)
-    return out.ravel()
+def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counted keys of a block, ascending, and how many of its sets hold each."""
+    return np.unique(np.concatenate(sets) >> np.uint64(64 - _KEY_BITS), return_counts=True)
 
 
-def _sets(text: pa.Array, k: int, rarity: np.ndarray) -> Iterator[np.ndarray]:
-    """The ordered set of each text: numbers that sort by how frequent a shingle's words are (8 bits), then by hash (56)."""
-    for _, _, data, off in tb.chunks(text):
-        w = tb.Words(data, off)
-        h, at, place, width = tb.shingles(w, k)
-        sums = np.concatenate([[0], np.cumsum(rarity[(w.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])])
-        level = np.minimum(255, (sums[place + width] - sums[place]) * (255 / (40 * k))).astype(np.uint64)
-        v = level << np.uint64(56) | h & np.uint64((1 << 56) - 1)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.unique(v[a:b])
+def _slices(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that hold some of the keys, and the limits of their slices."""
+    bucket = (keys >> np.uint64(_KEY_BITS - bits)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket[at], np.append(at, len(keys))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane: the high planes are nearly all zero."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8].T).tobytes()
 
 
-def size_classes(num: int, den: int) -> np.ndarray:
-    """Least sizes of classes so wide that sets link within one or with the next only."""
-    at = [1]
-    while at[-1] < 1 << 40:
-        at.append(max(at[-1] + 1, -(-at[-1] * den // num)))
-    return np.array(at, dtype=np.int64)
+def unpack_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(_KEY_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : _KEY_BITS // 8] = planes.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def signatures(s: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the parts of a set, of which two different sets that link have one in common.
+def levels(counts: np.ndarray) -> np.ndarray:
+    """0 for what one set alone holds, else the least power of two that the count does not exceed."""
+    return np.ceil(np.log2(counts)).astype(np.uint8)
 
-    Sets of a class and of the one below differ in at most ``most`` shingles if they link.  Of
-    ``most + 1 + spare`` parts, ``1 + spare`` at least are then equal.  A set of at most ``spare`` empty
-    parts shares one that is not empty, so only a set with more of them needs its empty parts.
+
+def ordered(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The shared shingles of a set in the global order, and how many of them are in its prefix (none: it links with nothing).
+
+    What no other set holds comes first in the order and is not stored.
     """
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    c = int(np.searchsorted(classes, len(s), side="right")) - 1
-    u = np.sort(tb.mix(s))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(u), dtype=np.uint64)])
-    out = [np.zeros(0, np.uint64)]
-    for scheme in (c, c + 1):
-        most = 2 * (int(classes[scheme + 1]) - 1) * (den - num) // (den + num)
-        if not most:  # only equal sets link, and those are one class
-            continue
-        spare = 1 + most // 200
-        parts = most + 1 + spare
-        part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        full = at[1:] > at[:-1]
-        x = tb.mix((sums[at[1:]] - sums[at[:-1]]) ^ tb.mix(np.arange(parts, dtype=np.uint64) + np.uint64(scheme << 40)))
-        out.append(x[full] if parts - int(full.sum()) <= spare else x)
-    return np.concatenate(out)
+    common = level > 0
+    prefix = len(s) - -(-len(s) * num // den) + 1 - int(len(s) - common.sum())
+    v = np.sort(level[common].astype(np.uint64) << np.uint64(56) | s[common] & np.uint64((1 << 56) - 1))
+    return v, max(0, min(prefix, len(v)))
 
 
-def trie_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(sets: list[np.ndarray], num: int, den: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (query, stored) with ``den * shared >= num * union``, each pair once (query < stored).
 
-    Empty sets link with nothing.
+    Empty sets link with nothing.  ``sizes`` are the whole sizes of sets given without what they alone hold.
     """
     m = len(sets)
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    if m < 2 or not n.sum():
+    held = np.array([len(s) for s in sets], dtype=np.int64)
+    n = held if sizes is None else sizes
+    if m < 2 or not held.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     universe, rank, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), n)
+    owner = np.repeat(np.arange(m), held)
     kept = df[rank] > 1  # what one set alone holds can match nothing
     place = np.cumsum(df > 1) - 1
     rank, owner, universe = place[rank[kept]], owner[kept], universe[df > 1]
     if not len(universe):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if m > 2 and m * len(universe) > WALK_BYTES:
-        return _in_parts(sets, num, den, min(m, 2 * int(np.ceil(np.sqrt(m * len(universe) / WALK_BYTES)))))
+        return _in_parts(sets, num, den, n, min(m, 2 * int(np.ceil(np.sqrt(m * len(universe) / WALK_BYTES)))))
     has = np.zeros((m, len(universe)), dtype=bool)
     has[owner, rank] = True
     limits = np.searchsorted(owner, np.arange(m + 1))
@@ -183,14 +162,14 @@ def trie_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return (np.concatenate(found_q), np.concatenate(found_y)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _in_parts(sets: list[np.ndarray], num: int, den: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _in_parts(sets: list[np.ndarray], num: int, den: int, sizes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """``trie_links`` of parts two by two, each pair of sets in one walk."""
     at = [np.arange(len(sets))[k::parts] for k in range(parts)]
     found = []
     for k, mine in enumerate(at):
         for other in at[k:] if len(mine) else ():
             both = mine if other is mine else np.sort(np.concatenate([mine, other]))
-            q, y = trie_links([sets[x] for x in both], num, den)
+            q, y = trie_links([sets[x] for x in both], num, den, sizes[both])
             q, y = both[q], both[y]
             keep = (q % parts != y % parts) if other is not mine else np.ones(len(q), dtype=bool)
             found.append((q[keep], y[keep]))
@@ -221,56 +200,100 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     other than the two named are not read, so their names cannot clash.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared_level = docs.sparkSession.sparkContext.broadcast(np.rint(np.log2(1.0 + _sketch(docs, "text")) * 256) / 256)
-
-    limits = size_classes(num, den)
+    kind = docs.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared_level.value
         for b in batches:
-            n, print_, parts = [], [], []
-            for s in _sets(b.column(1), k, level):
-                n.append(len(s))
-                print_.append(_fingerprint(s.tobytes()) if len(s) else None)
-                parts.append(signatures(s, limits, num, den).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["id", "n", "print", "parts"])
+            sets = list(_sets(b.column(1), k))
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([_fingerprint(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["id", "n", "print"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary, parts array<bigint>"), "sets")
-    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts")), "classes")
-
-    emitted = classes.where("rep is not null").select("rep", F.explode("parts").alias("part"))
-    met = emitted.groupBy("part").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("part", "leader")
-    # A set has no more leaders than parts.
-    pairs = contract(emitted.join(met, "part").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    label = components(pairs).withColumnRenamed("id", "rep")
-    reps = materialize(label.join(classes.select("rep", "print", "copies", "n"), "rep"), "labelled")
-    whole = reps.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("weight"))
-    whole = whole.select("label", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("weight") / CELL_SHINGLES)).cast("int").alias("blocks"))
-    reps = materialize(reps.join(whole, "label").select("rep", "print", "copies", "label", "blocks"), "reps")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared_level.value
+    rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary"), "rows")
+    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")), "classes")
+    whole = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    bits = max(LEAST_BUCKETS, whole.shingles // BUCKET_SHINGLES).bit_length() - 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            raw = [s.tobytes() for s in _sets(b.column(5), k, rarity)]
             # A row of the same id with another text is not this class.
-            same = pa.array([_fingerprint(r) == p for r, p in zip(raw, b.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(raw, pa.binary())], ["rep", "copies", "label", "blocks", "set"]).filter(same)
-
-    found = docs.withColumnRenamed("id", "rep")
-    if reps.count() <= MOST_BROADCAST:  # spares the other texts the shuffle
-        found = found.join(F.broadcast(reps.select("rep")), "rep", "left_semi")
-    found = found.join(reps, "rep").select("rep", "print", "copies", "label", "blocks", "text")
-    found = found.mapInArrow(sets, f"rep {kind}, copies bigint, label {kind}, blocks int, set binary")
+            right = [_fingerprint(s.tobytes()) == p for s, p in zip(_sets(b.column(3), k), b.column(1).to_pylist(), strict=True)]
+            for row in zip(*(c.filter(pa.array(right, pa.bool_())).to_pylist() for c in b.columns), strict=True):
+                if held and size + len(row[3]) > BLOCK_TEXT:
+                    yield _block(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield _block(held)
+
+    reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "print", "copies")
+    blocks = docs.join(F.broadcast(reps) if whole.sets <= MOST_BROADCAST else reps, "id").select("id", "print", "copies", "text")
+    blocks = materialize(blocks.mapInArrow(pack, f"block binary, rep array<{kind}>, copies array<bigint>, text array<string>"), "blocks")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, texts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys, counts = _keys(list(_sets(texts.values, k)))
+                bucket, at = _slices(keys, bits)
+                cut = list(zip(at[:-1], at[1:], strict=True))
+                counts = np.minimum(counts, 255).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"bucket": bucket, "block": [block] * len(cut), "keys": [pack_keys(keys[i:j]) for i, j in cut], "counts": [counts[i:j].tobytes() for i, j in cut]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), (block, raw, counts) in _groups(batches, 1):
+            keys = [unpack_keys(r) for r in raw]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(at, weights=np.frombuffer(b"".join(counts), dtype=np.uint8))
+            level, ends = levels(sums)[at], np.cumsum([len(x) for x in keys])
+            yield pa.RecordBatch.from_pydict({"block": block, "bucket": pa.array([bucket] * len(block), pa.int64()), "levels": [zlib.compress(x.tobytes(), 1) for x in np.split(level, ends[:-1])]})
+
+    counted = blocks.select("block", "text").mapInArrow(deal, "bucket bigint, block binary, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    counted = materialize(counted.mapInArrow(count, "block binary, bucket bigint, levels binary"), "levels")
+    # A block has at most one row of each bucket.
+    counted = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("levels")).select("block", F.col("levels.levels").alias("levels"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, copies, texts, parts in zip(*(b.column(c) for c in ("rep", "copies", "text", "levels")), strict=True):
+                sets = list(_sets(texts.values, k))
+                keys, _ = _keys(sets)
+                level = np.frombuffer(b"".join(zlib.decompress(x) for x in parts.as_py()), dtype=np.uint8)
+                got = [ordered(s, level[np.searchsorted(keys, s >> np.uint64(64 - _KEY_BITS))], num, den) for s in sets]
+                stay = [x for x, (_, prefix) in enumerate(got) if prefix]
+                if stay:
+                    held = [rep.values.take(pa.array(stay)), copies.values.take(pa.array(stay)), pa.array([len(sets[x]) for x in stay]), pa.array([got[x][1] for x in stay]), pa.array([len(got[x][0]) for x in stay]), pa.array([got[x][0].tobytes() for x in stay], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(held, ["rep", "copies", "n", "prefix", "held", "set"])
+
+    ordered_sets = materialize(blocks.join(counted, "block").select("rep", "copies", "text", "levels").mapInArrow(order, f"rep {kind}, copies bigint, n bigint, prefix bigint, held bigint, set binary"), "ordered")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [np.frombuffer(s, dtype=np.int64)[:p] for s, p in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rep = b.column(0).take(pa.array(np.repeat(np.arange(len(v)), [len(x) for x in v])))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))], ["rep", "shingle"])
+
+    emitted = materialize(ordered_sets.select("rep", "prefix", "set").mapInArrow(prefixes, f"rep {kind}, shingle bigint"), "prefixes")
+    met = emitted.groupBy("shingle").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("shingle", "leader")
+    # A set has no more leaders than shingles.
+    pairs = contract(emitted.join(met, "shingle").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    label = materialize(components(pairs).withColumnRenamed("id", "rep"), "labelled")
+    members = ordered_sets.select("rep", "held").join(label, "rep")
+    size = members.groupBy("label").agg(F.count(F.lit(1)).alias("all"), F.sum("held").alias("weight"))
+    size = size.select("label", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("weight") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    label = materialize(label.join(size, "label").select("rep", "label", "blocks"), "sized")
+
+    # Spares the sets a shuffle where the ids are few.
+    found = ordered_sets.select("rep", "copies", "n", "set").join(F.broadcast(label) if label.count() <= MOST_BROADCAST else label, "rep")
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("bigint")).cast("int")
     found = found.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    found = found.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "set")
+    found = found.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "n", "set")
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in _groups(batches, 3):
-            once = sorted({r: x for x, r in enumerate(group[1])}.values())  # rows repeated whole
-            own, rep, copies, raw = ([c[x] for x in once] for c in group)
-            q, y = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], num, den)
+            once = sorted({r: x for x, r in enumerate(zip(group[1], group[4], strict=True))}.values())  # rows repeated whole
+            own, rep, copies, n, raw = ([c[x] for x in once] for c in group)
+            q, y = trie_links([np.frombuffer(r, dtype=np.uint64) for r in raw], num, den, np.array(n, dtype=np.int64))
             if i != j:  # pairs within a block belong to the cell of that block alone
                 own = np.array(own)
                 apart = own[q] != own[y]
@@ -308,6 +331,12 @@ def _fingerprint(raw: bytes) -> bytes:
     return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
+def _block(held: list[tuple]) -> pa.RecordBatch:
+    """One row of many texts, named by their classes."""
+    rep, print_, copies, text = zip(*held, strict=True)
+    return pa.RecordBatch.from_pydict({"block": [_fingerprint(b"".join(print_))], "rep": [list(rep)], "copies": [list(copies)], "text": [list(text)]})
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
     """Runs of rows with equal first ``keys`` columns, from batches sorted by them."""
     now, held = None, None

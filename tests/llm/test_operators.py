@@ -47,19 +47,35 @@ def brute(rows, k, num, den):
     return out
 
 
-def test_sets_that_link_share_a_part():
+def test_sets_that_link_share_a_shingle_of_their_prefixes():
     rnd = np.random.default_rng(7)
     for num, den in ((9, 10), (4, 5)):
-        classes = jaccard_join.size_classes(num, den)
+        sets = []
         for n in [*range(1, 60), 300, 2500]:
-            for _ in range(20):
-                a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+            a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+            for _ in range(8):
                 gone = int(rnd.integers(0, max(1, n * (den - num) // den) + 1))
-                b = np.concatenate([a[gone:], rnd.integers(0, 1 << 63, int(rnd.integers(0, gone + 2)), dtype=np.uint64)])
-                a, b = np.unique(a), np.unique(b)
-                o = len(np.intersect1d(a, b))
-                if den * o >= num * (len(a) + len(b) - o) and len(a) + len(b) > 2 * o:
-                    assert len(np.intersect1d(*(jaccard_join.signatures(x, classes, num, den) for x in (a, b))))
+                new = rnd.integers(0, 40, int(rnd.integers(0, gone + 2)), dtype=np.uint64) << np.uint64(30)
+                sets.append(np.unique(np.concatenate([a[gone:], new])))
+        keys, counts = jaccard_join._keys(sets)
+        level = jaccard_join.levels(counts)
+        got = [jaccard_join.ordered(s, level[np.searchsorted(keys, s >> np.uint64(16))], num, den) for s in sets]
+        seen = collections.Counter()
+        for x, (s, (v, p)) in enumerate(zip(sets, got, strict=True)):
+            for t, (w, r) in zip(sets[:x], got[:x], strict=True):
+                o = len(np.intersect1d(s, t))
+                if o and den * o >= num * (len(s) + len(t) - o) and len(s) + len(t) > 2 * o:
+                    assert len(np.intersect1d(v[:p], w[:r]))
+                    seen["linked"] += 1
+        assert seen["linked"] > 100
+
+
+def test_packed_keys_round_trip():
+    keys = np.unique(np.random.default_rng(9).integers(0, 1 << 48, 500, dtype=np.uint64))
+    for x in (keys, keys[:1], np.array([0, (1 << 48) - 1], dtype=np.uint64)):
+        assert (jaccard_join.unpack_keys(jaccard_join.pack_keys(x)) == x).all()
+    bucket, at = jaccard_join._slices(keys, 5)
+    assert at[-1] == len(keys) and all((keys[i:j] >> np.uint64(43) == b).all() for b, i, j in zip(bucket, at[:-1], at[1:], strict=True))
 
 
 def test_a_walk_in_parts_finds_the_same_links(monkeypatch):
