@@ -29,6 +29,8 @@ UNDETERMINED = "und"
 _BITS = 6
 _CLASSES = 1 << _BITS
 _UNIT = float(1 << 24)
+#: Bound vectors widened at once, and counts held at once.
+_WIDEN, _COUNTS = 2048, 1 << 21
 
 
 @functools.cache
@@ -49,21 +51,32 @@ def _letters() -> np.ndarray:
 
 
 def _bound(grams: np.ndarray) -> np.ndarray:
-    """The bound vectors of trigram numbers."""
+    """The bound vectors of trigram numbers, in bytes."""
     v, mask = _letters(), _CLASSES - 1
-    return (np.roll(v, 2, axis=1)[grams >> 2 * _BITS] * np.roll(v, 1, axis=1)[grams >> _BITS & mask] * v[grams & mask]).astype(np.float32)
+    out = np.roll(v, 2, axis=1)[grams >> 2 * _BITS]
+    out *= np.roll(v, 1, axis=1)[grams >> _BITS & mask]
+    out *= v[grams & mask]
+    return out
+
+
+def _bundle(counts: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """``counts @ bound``, of which few rows at a time are widened (sums of whole numbers, so the order is free)."""
+    out = np.zeros((len(counts), DIMENSIONS), np.float32)
+    for a in range(0, len(bound), _WIDEN):
+        out += counts[:, a : a + _WIDEN].astype(np.float32) @ bound[a : a + _WIDEN].astype(np.float32)
+    return out
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of the code points, with a 0 before each row, and the row of each."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    b = data[lead].astype(np.int64)
-    tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64) & 0x3F
+    b = data[lead].astype(np.int32)
+    tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
     two = (b & 0x1F) << 6 | tail[lead + 1]
     three = (b & 0x0F) << 12 | tail[lead + 1] << 6 | tail[lead + 2]
     point = np.where(b < 0x80, b, np.where(b < 0xE0, two, np.where(b < 0xF0, three, 0)))
     code = _letter_classes()[point]
-    row = np.searchsorted(offsets, lead, side="right") - 1
+    row = (np.searchsorted(offsets, lead, side="right") - 1).astype(np.int32)
     n = len(offsets) - 1
     places = np.searchsorted(lead, offsets)  # of each row's first code point
     places[-1] = len(lead)
@@ -78,7 +91,7 @@ def bundles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         code, row = _codes(data, off)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])
-        code, row = code[keep].astype(np.int64), row[keep]
+        code, row = code[keep].astype(np.int32), row[keep]
         gram = code[:-2] << 2 * _BITS | code[1:-1] << _BITS | code[2:]
         ok = (row[:-2] == row[2:]) & (gram != 0)
         gram, row = gram[ok], row[:-2][ok]
@@ -89,13 +102,13 @@ def bundles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         place = np.zeros(int(seen[-1]) + 1, dtype=np.int64)
         place[seen] = np.arange(len(seen))
         bound, out = _bound(seen), np.zeros((hi - lo, DIMENSIONS), np.float32)
-        step = max(1, (1 << 22) // len(seen))
+        step = max(1, _COUNTS // len(seen))
         limits = np.searchsorted(row, np.arange(0, hi - lo + step, step))
         for s, (a, b) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
             n = min(step, hi - lo - s * step)
             if n > 0:
-                counts = np.bincount((row[a:b] - s * step) * len(seen) + place[gram[a:b]], minlength=n * len(seen))
-                out[s * step : s * step + n] = counts.reshape(n, len(seen)).astype(np.float32) @ bound
+                counts = np.bincount((row[a:b].astype(np.int64) - s * step) * len(seen) + place[gram[a:b]], minlength=n * len(seen))
+                out[s * step : s * step + n] = _bundle(counts.reshape(n, len(seen)), bound)
         yield lo, hi, out
 
 
