@@ -68,7 +68,7 @@ def _bundle(counts: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of the code points, with a 0 before each row, and the row of each."""
+    """Letter classes of the code points, with a 0 before and after each row, and the row of each."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     b = data[lead].astype(np.int32)
     tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
@@ -80,9 +80,8 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(offsets) - 1
     places = np.searchsorted(lead, offsets)  # of each row's first code point
     places[-1] = len(lead)
-    code = np.insert(code, np.r_[places[:-1], places[-1]], 0)
-    row = np.insert(row, np.r_[places[:-1], places[-1]], np.r_[np.arange(n), n - 1])
-    return code, row
+    edges = np.stack([places[:-1], places[1:]], axis=1).ravel()
+    return np.insert(code, edges, 0), np.insert(row, edges, np.repeat(np.arange(n, dtype=np.int32), 2))
 
 
 def bundles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:

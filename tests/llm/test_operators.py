@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridspark.llm import chat, decontamination, jaccard_join, language_id, mixing, quality, queries, tiff, toxicity, url_filter, warc
@@ -121,6 +122,17 @@ def test_language_id(spark, docs, odd, empty):
     assert (next(language_id.bundles(pa.array(["Ab"])))[2][0][: len(want)] == want).all()
 
 
+def test_a_bundle_does_not_depend_on_the_rows_beside():
+    texts = ["ñ", "", "a", None, "the end", " ", "a", "x" * 50, "the end"]
+    vectors = np.concatenate([v for _, _, v in language_id.bundles(pa.array(texts))])
+    alone = np.concatenate([v for t in texts for _, _, v in language_id.bundles(pa.array([t], pa.string()))])
+    assert np.array_equal(vectors, alone)
+    assert [bool(v.any()) for v in vectors] == [any(c.isalpha() for c in t or "") for t in texts]
+    letters = [0, *(ord(c) - 96 if c.isalpha() else 0 for c in "the end"), 0]
+    grams = np.array([a << 12 | b << 6 | c for a, b, c in zip(letters, letters[1:], letters[2:])])
+    assert np.array_equal(vectors[4], language_id._bound(grams).astype(np.int64).sum(axis=0))
+
+
 def test_quality(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.classify(docs, labels)
