@@ -41,7 +41,7 @@ BUCKET_SHINGLES, LEAST_BUCKETS = 1 << 20, 256
 BLOCK, CELL_SHINGLES = 512, 1 << 20
 #: Bytes of a walk's table of sets by shared shingles; beyond that a task walks its sets in parts.
 WALK_BYTES = 1 << 27
-#: Ids of candidates are broadcast while they are at most so many (about 40 MB).
+#: Ids of classes, with fingerprints, and of candidates are broadcast while they are at most so many (about 80 MB).
 MOST_BROADCAST = 1_000_000
 #: Bits of a shingle's hash that are counted.
 _KEY_BITS = 48
