@@ -209,16 +209,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
             yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([_fingerprint(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["id", "n", "print"])
 
     rows = materialize(docs.mapInArrow(describe, f"id {kind}, n bigint, print binary"), "rows")
-    classes = materialize(rows.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")), "classes")
-    whole = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    same = rows.where("print is not null").groupBy("print", "id").agg(F.count(F.lit(1)).alias("rows"), F.any_value("n").alias("n"))
+    classes = same.groupBy("print").agg(F.min("id").alias("rep"), F.sum("rows").alias("copies"), F.any_value("n").alias("n"), F.min_by("rows", "id").alias("rep_rows"))
+    classes = materialize(classes, "classes")
+    whole = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.coalesce(F.max("rep_rows"), F.lit(0)).alias("rep_rows")).first()
     bits = max(LEAST_BUCKETS, whole.shingles // BUCKET_SHINGLES).bit_length() - 1
 
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row of the same id with another text is not this class.
+        for b in batches:
+            yield b.filter(pa.array([_fingerprint(s.tobytes()) == p for s, p in zip(_sets(b.column(3), k), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            # A row of the same id with another text is not this class.
-            right = [_fingerprint(s.tobytes()) == p for s, p in zip(_sets(b.column(3), k), b.column(1).to_pylist(), strict=True)]
-            for row in zip(*(c.filter(pa.array(right, pa.bool_())).to_pylist() for c in b.columns), strict=True):
+        for b in right(batches):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and size + len(row[3]) > BLOCK_TEXT:
                     yield _block(held)
                     held, size = [], 0
@@ -227,9 +232,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
         if held:
             yield _block(held)
 
-    reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "print", "copies")
-    blocks = docs.join(F.broadcast(reps) if whole.sets <= MOST_BROADCAST else reps, "id").select("id", "print", "copies", "text")
-    blocks = materialize(blocks.mapInArrow(pack, f"block binary, rep array<{kind}>, copies array<bigint>, text array<string>"), "blocks")
+    def texts(reps: DataFrame) -> DataFrame:
+        reps = reps.select(F.col("rep").alias("id"), "print", "copies")
+        return docs.join(F.broadcast(reps) if whole.sets <= MOST_BROADCAST else reps, "id").select("id", "print", "copies", "text")
+
+    # A class stands in one block only: a block's name is its classes, and counts are of classes, not of rows.
+    once = texts(classes.where("rep_rows = 1"))
+    if whole.rep_rows > 1:
+        again = texts(classes.where("rep_rows > 1")).mapInArrow(right, f"id {kind}, print binary, copies bigint, text string")
+        once = once.union(again.dropDuplicates(["id", "print"]))
+    blocks = materialize(once.mapInArrow(pack, f"block binary, rep array<{kind}>, copies array<bigint>, text array<string>"), "blocks")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

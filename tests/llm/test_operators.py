@@ -106,6 +106,25 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute(rows, 3, 9, 10)
 
 
+def test_jaccard_join_of_rows_repeated_whole_in_equal_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXT", 2000)
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        if i % 4 == 0:
+            base = [f"w{rnd.randrange(3000)}" for _ in range(60)]
+        w = list(base)
+        w[rnd.randrange(60)] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    rnd.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")  # two scans in a union keep their partitions
+    want = {i: (n, c, 2 * links + 1) for i, (n, c, links) in brute(rows, 3, 8, 10).items()}
+    got = jaccard_join.near_duplicates(d.union(d), 3, 8, 10).collect()
+    assert len(got) == 240 and max(links for *_, links in want.values()) > 1
+    assert all((r.n_shingles, r.component_id, r.n_links) == want[r.doc_id] for r in got)
+
+
 def test_language_id(spark, docs, odd, empty):
     model = language_id.learn(docs)
     got = {r.doc_id: r for r in language_id.detect(docs, model).collect()}
