@@ -1,6 +1,8 @@
 """Benchmark decontamination: BM25 with block-max pruning over an inverted index of test items.
 
-Every training text is cut into overlapping passages of words, and each passage is a query.  An
+Every training text is cut into overlapping passages of words, and each passage is a query.
+Passages grow with the items: an item of up to ``HALF * 2**k`` words is looked for in passages of
+twice as many, which start so near each other that one of them holds a verbatim copy whole.  An
 item's score is the sum of its terms' BM25 impacts found in the passage, as a share of the score of
 the item with itself.  Items lie in blocks; each term keeps its largest share in each block.  A
 passage skips a block whose bound stays below the threshold: the sum of the block maxima of its
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 K1, B = 1.2, 0.75
-#: Words between the starts of passages; a passage has twice as many.
+#: Words between the starts of passages, for items of at most so many words; doubled until a longer item fits.  A passage has twice as many.
 HALF = 64
 BLOCK_ITEMS = 4
 #: Items in one index; a larger benchmark is indexed in shards, each met with all texts in turn.
@@ -74,6 +76,7 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
+    half: int  # words between the starts of passages, no fewer than an item has
     ids: list
     terms: np.ndarray  # sorted vocabulary of this shard
     question: list[tuple[int, np.ndarray]]
@@ -87,9 +90,17 @@ class Index:
     block_starts: list[np.ndarray]
 
 
-def build_index(ids: list, texts: list[str], df: dict[int, int], n_items: int, average: float) -> Index:
+def build_indexes(ids: list, texts: list[str], df: dict[int, int], n_items: int, average: float) -> list[Index]:
+    """An index for the items of each passage length."""
     hashes = [_item_hashes(t or "") for t in texts]
-    known = [i for i, h in enumerate(hashes) if len(h)]
+    halves: dict[int, list[int]] = {}
+    for i, h in enumerate(hashes):
+        if len(h):
+            halves.setdefault(max(HALF, 1 << (len(h) - 1).bit_length()), []).append(i)
+    return [_build_index(half, known, ids, texts, hashes, df, n_items, average) for half, known in sorted(halves.items())]
+
+
+def _build_index(half: int, known: list[int], ids: list, texts: list[str], hashes: list[np.ndarray], df: dict[int, int], n_items: int, average: float) -> Index:
     scored = []
     for i in known:
         t, tf = np.unique(hashes[i], return_counts=True)
@@ -120,7 +131,7 @@ def build_index(ids: list, texts: list[str], df: dict[int, int], n_items: int, a
             into.append((min(n, len(h)), np.unique(_grams(h, n))))
     parts = [range(k, min(k + BLOCK_ITEMS, len(scored))) for k in range(0, len(scored), BLOCK_ITEMS)]
     return Index(
-        [ids[i] for _, i, *_ in scored], terms, question, answer, lists,
+        half, [ids[i] for _, i, *_ in scored], terms, question, answer, lists,
         np.array([b for _, b in keys], dtype=np.int64), np.array([most[k] for k in keys]), slack,
         [np.concatenate([item_terms[i] for i in p]) for p in parts],
         [np.concatenate([item_shares[i] for i in p]) for p in parts],
@@ -140,12 +151,12 @@ def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, i
     h = w.hash
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     term = np.where(index.terms[at] == h, at, -1)
-    # Half passages: HALF words each, never across rows; a passage is one half and the next.
-    halves = -(-w.count // HALF)
+    # Half passages, never across rows; a passage is one half and the next.
+    halves = -(-w.count // index.half)
     first_half = np.concatenate([[0], np.cumsum(halves)])
     half_row = np.repeat(np.arange(len(w.count)), halves)
     row = np.repeat(np.arange(len(w.count)), w.count)
-    half = first_half[row] + (np.arange(len(h)) - w.first[row]) // HALF
+    half = first_half[row] + (np.arange(len(h)) - w.first[row]) // index.half
     known = term >= 0
     once = np.unique(half[known] * len(index.terms) + term[known])  # a term adds once to each half
     in_half, once = once // len(index.terms), once % len(index.terms)
@@ -163,15 +174,15 @@ def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, i
         if p != last:
             present[own] = False
             r = half_row[p]
-            begin = w.first[r] + (p - first_half[r]) * HALF
-            end = min(begin + 2 * HALF, w.first[r + 1])
+            begin = w.first[r] + (p - first_half[r]) * index.half
+            end = min(begin + 2 * index.half, w.first[r + 1])
             own = term[begin:end]
             own, last = own[own >= 0], p
             present[own] = True
         scores = np.add.reduceat(index.block_shares[b] * present[index.block_terms[b]], index.block_starts[b])
         for i in np.flatnonzero(scores >= threshold):
             s, k = float(scores[i]), int(b * BLOCK_ITEMS + i)
-            around = h[max(w.first[r], begin - HALF) : min(w.first[r + 1], end + HALF)]
+            around = h[max(w.first[r], begin - index.half) : min(w.first[r + 1], end + index.half)]
             q, a = _found(index.question[k], around), _found(index.answer[k], around)
             if q >= LEAST_QUESTION and a >= LEAST_ANSWER:
                 x = hits.setdefault((int(r), k), [0.0, 0.0, 0.0, 0])
@@ -180,8 +191,8 @@ def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, i
         yield (r, i, *x)
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The index shards of a benchmark; term statistics are those of all items.
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
+    """The index shards of a benchmark, each with an index for every passage length; term statistics are those of all items.
 
     Items of null text or without words are never found.  Items of equal text are all kept.
     """
@@ -205,13 +216,13 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         rows = items.where(shard == k).orderBy("id", "text").collect()
         wanted = {int(x) for r in rows for x in _item_hashes(r.text or "").view(np.int64)}
         df = {r.t: r.n for r in (counted.where("t is not null").toLocalIterator() if wanted else []) if r.t in wanted}
-        yield build_index([r.id for r in rows], [r.text for r in rows], df, whole.n, whole.words / whole.n)
+        yield build_indexes([r.id for r in rows], [r.text for r in rows], df, whole.n, whole.words / whole.n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``id_col, item_col, score, question_overlap, answer_overlap, passages`` for each row and item it leaks.
 
-    A null, empty or wordless text leaks nothing; texts of any length are searched whole.  Repeated
+    A null, empty or wordless text leaks nothing; texts and items of any length are searched whole.  Repeated
     rows give repeated results.  Other columns are not read.
     """
     out, kind, item_kind = None, docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -219,18 +230,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
 
     def searcher(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in batches:
                 ids = b.column(0)
                 for lo, _, w in tokens(b.column(1)):
-                    if found := list(search(index, w, threshold)):
+                    for index in shared.value:
+                        found = list(search(index, w, threshold))
+                        if not found:
+                            continue
                         r, i, s, q, a, n = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + x for x in r])), pa.array([index.ids[x] for x in i]), pa.array(s), pa.array(q), pa.array(a), pa.array(n, pa.int32())], ["a", "b", "c", "d", "e", "f"])
 
         return run
 
-    for index in indexes(benchmark, item_col):
-        part = docs.select(id_col, text_col).mapInArrow(searcher(docs.sparkSession.sparkContext.broadcast(index)), schema)
+    for shard in indexes(benchmark, item_col):
+        part = docs.select(id_col, text_col).mapInArrow(searcher(docs.sparkSession.sparkContext.broadcast(shard)), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -244,12 +257,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
                 for lo, _, w in tokens(b.column(at)):
-                    for r, *_ in search(shared.value, w, threshold):
-                        keep[lo + r] = False
+                    for index in shared.value:
+                        for r, *_ in search(index, w, threshold):
+                            keep[lo + r] = False
                 yield b.filter(pa.array(keep))
 
         return run
 
-    for index in indexes(benchmark, item_col):
-        docs = docs.mapInArrow(filterer(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    for shard in indexes(benchmark, item_col):
+        docs = docs.mapInArrow(filterer(docs.sparkSession.sparkContext.broadcast(shard)), docs.schema)
     return docs

@@ -220,6 +220,16 @@ def test_decontamination_equals_full_scoring(spark, docs, odd, empty):
     assert decontamination.drop_leaks(docs, bench).count() == docs.count() - len({d for d, _ in got})
 
 
+def test_decontamination_finds_long_items(spark):
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" + "." * (i % 20 == 19) for i in range(n))
+    items = [(n, text(n)) for n in (20, 100, 250, 300, 600, 1000)]
+    docs = [(i, f"{text(rnd.randrange(400))} {t} {text(rnd.randrange(400))}") for i, t in items] + [(-1, text(3000)), (-2, items[-1][1][:1500])]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()} == {-1, -2}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <<SYS>> kind \\"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, "<"), (2, 1, "tool<", "x" * 5000), (2, 2, "assistant", "b"), (2, 2, "assistant", "a"), (None, 0, "user", "q")]
     rows += [(3, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * 50) for i in range(1, 40)]
