@@ -34,7 +34,7 @@ LEAST_SUPPORT = 5
 LEAST_SURE = 0.5
 #: ... and their plain share is this or more; a beginning shared with harmless words gives way to a longer one.
 LEAST_SHARE = 0.95
-#: Longest word taken as disguised; longer ones are keys and addresses and stay as they are.
+#: Longest word, runs of equal letters counted once, that its likeliest form replaces; longer ones may be keys and addresses and are scored in both forms.
 LONGEST = 40
 _PREFIXES = (4, 5, 6)
 _Z = 2.58
@@ -85,7 +85,7 @@ def _class(c: str) -> int:
 def decode(word: str, model: np.ndarray) -> tuple[str, float]:
     """The likeliest plain form of a word and its log-probability (Viterbi over the last two letters)."""
     word = word.lower()
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # what is read so far: (the part before, text)
     i = 0
     while i < len(word):
         c, j = word[i], i + 1
@@ -100,7 +100,7 @@ def decode(word: str, model: np.ndarray) -> tuple[str, float]:
                 options.append((x * run, cost))
             if run >= 2 and (sign or run >= 3):
                 options += [(x, cost + SINGLE), (x * 2, cost + DOUBLE)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (p, out) in states.items():
             for text, cost in options:
                 a2, b2, p2 = a, b, p + cost
@@ -109,12 +109,20 @@ def decode(word: str, model: np.ndarray) -> tuple[str, float]:
                     p2 += float(model[a2, b2, k])
                     a2, b2 = b2, k
                 if (a2, b2) not in new or p2 > new[a2, b2][0]:
-                    new[a2, b2] = (p2, out + text)
+                    new[a2, b2] = (p2, (out, text) if text else out)
         states, i = new, j
-    best = max(((p + float(model[a, b, 0]), out) for (a, b), (p, out) in states.items()), key=lambda x: (x[0], x[1]))
+    best = max((p + float(model[a, b, 0]), _spelt(out)) for (a, b), (p, out) in states.items())
     return best[1], best[0]
 
 
+def _spelt(out: tuple | None) -> str:
+    parts = []
+    while out:
+        out, text = out
+        parts.append(text)
+    return "".join(reversed(parts))
+
+
 # --- words of a chunk, disguised ones restored ---------------------------------------------------
 
 
@@ -142,7 +150,10 @@ def _restored(data: np.ndarray, off: np.ndarray, model: np.ndarray, known: dict[
     triple = np.zeros(n, dtype=bool)
     if n > 2:
         triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[data[2:]]
-    odd = (((signs > 0) & (letters > 0)) | (sums(triple) > 0)) & (end - begin <= LONGEST)
+    odd = ((signs > 0) & (letters > 0)) | (sums(triple) > 0)
+    again = np.zeros(n, dtype=bool)
+    again[1:] = (low[1:] == low[:-1]) & (_LETTER | _SIGN)[data[1:]]
+    long = end - begin - sums(again) > LONGEST
     # A run of four single letters or more is one word, if the model finds that likelier.
     single = (letters == 1) & (end - begin == 1) & (w.end - w.start <= 2)
     row = np.repeat(np.arange(len(w.count)), w.count)
@@ -170,9 +181,11 @@ def _restored(data: np.ndarray, off: np.ndarray, model: np.ndarray, known: dict[
         if plain is None:
             if len(known) > 200_000:
                 known.clear()
-            plain = known[core] = decode(core.decode("utf-8", "ignore"), model)[0]
+            plain = decode(core.decode("utf-8", "ignore"), model)[0]
+            if len(core) <= 4 * LONGEST:
+                known[core] = plain
         out.append((int(row[k]), plain, int(k)))
-        replaced[k] = True
+        replaced[k] = not long[k]
     return w, begin, end, replaced, out
 
 

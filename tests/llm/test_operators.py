@@ -188,6 +188,32 @@ def test_toxicity_restores_and_scores(spark, odd, empty):
     assert toxicity.toxicity(odd, model, lexicon).count() == len(ODD) and toxicity.toxicity(empty, model, lexicon).count() == 0
 
 
+@pytest.fixture(scope="module")
+def insults(spark):
+    """The model and the lexicon of made-up texts, and what scores texts by them."""
+    rnd = random.Random(5)
+    plain = "a you the onion reads thing state horse later river paper great lost ideas audio pilot riot young yours about fat tall old small are our un una el que muy tonto".split()
+    rows, labels = [], []
+    for i in range(600):
+        w = [rnd.choice(plain) for _ in range(30)]
+        if i % 4 == 0:
+            for bad in ("idiot", "loser", "stupid", "cabrón"):
+                w[rnd.randrange(30)] = bad
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn_characters(d)
+    lexicon = toxicity.learn_lexicon(d, spark.createDataFrame(labels, "doc_id long, toxic int"), model)
+    return lambda texts: dict(zip(texts, toxicity.score(pa.array(texts), model, lexicon, {}), strict=True))
+
+
+def test_toxicity_restores_stretched_and_long_words(insults):
+    bad = ["l" + "o" * 40 + "ser", "you id" + "i" * 500 + "ot", "L" + "O" * 3000 + "s3r", "st" + "u" * 30 + "p" + "!" * 30 + "d", "1diot" + "-horse" * 10]
+    good = ["h" + "o" * 60 + "rse", "x" * 200_000, "http://onion/" + "riv3r/" * 20]
+    got = insults(bad + good)
+    assert min(got[x] for x in bad) >= 0.3 > max(got[x] for x in good)
+
+
 def test_decontamination_equals_full_scoring(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     rows = docs.select("doc_id", "text").collect()
