@@ -1,9 +1,10 @@
 """Toxicity scores of texts whose words may be disguised.
 
 Noisy channel: a word with digits or signs among its letters, with a letter three times or more in
-a row, or spelt out letter by letter becomes a lattice of what it may stand for.  Viterbi decoding
-under a character trigram model, counted over all documents, picks the likeliest plain form.  All
-other words have a lattice of one path, themselves, and are taken as they stand.
+a row becomes a lattice of what it may stand for.  So does a whole run of letters, digits and signs
+that stand alone, apart by spaces or punctuation; there a word may end after each of them.  Viterbi
+decoding under a character trigram model, counted over all documents, picks the likeliest plain form.
+All other words have a lattice of one path, themselves, and are taken as they stand.
 
 Scoring: words and their beginnings that stand in toxic documents far more often than in others form
 a weighted lexicon; the score is the noisy-or over the words of the restored text.  Occurrences
@@ -36,6 +37,8 @@ LEAST_SURE = 0.5
 LEAST_SHARE = 0.95
 #: Longest word, runs of equal letters counted once, that its likeliest form replaces; longer ones may be keys and addresses and are scored in both forms.
 LONGEST = 40
+#: Letters, digits and signs in a row, each alone, that are taken as spelt out.
+LEAST_SPELT = 4
 _PREFIXES = (4, 5, 6)
 _Z = 2.58
 
@@ -45,6 +48,8 @@ _LETTER = _ALNUM.copy()
 _LETTER[48:58] = False
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(c) for c in LEET]] = True
+_EDGE = np.zeros(256, dtype=bool)  # signs that are also punctuation at the edge of a word
+_EDGE[[ord(c) for c in "!|+("]] = True
 
 
 # --- the character model ---------------------------------------------------------------------
@@ -82,8 +87,17 @@ def _class(c: str) -> int:
     return int(_letter_classes()[ord(c)]) if ord(c) < 1 << 16 else 0
 
 
-def decode(word: str, model: np.ndarray) -> tuple[str, float]:
-    """The likeliest plain form of a word and its log-probability (Viterbi over the last two letters)."""
+def _cuts(text: str) -> list[str]:
+    """The text whole, and with a word's end before it, at one place within it, or both."""
+    inner = [text, *(f"{text[:x]} {text[x:]}" for x in range(1, len(text)))]
+    return inner + [" " + x for x in inner]
+
+
+def decode(word: str, model: np.ndarray, spelt: bool = False) -> tuple[str, float]:
+    """The likeliest plain form of a word and its log-probability (Viterbi over the last two letters).
+
+    A ``spelt`` run may stand for several words, which spaces part.
+    """
     word = word.lower()
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # what is read so far: (the part before, text)
     i = 0
@@ -100,9 +114,15 @@ def decode(word: str, model: np.ndarray) -> tuple[str, float]:
                 options.append((x * run, cost))
             if run >= 2 and (sign or run >= 3):
                 options += [(x, cost + SINGLE), (x * 2, cost + DOUBLE)]
+        if spelt:
+            if run >= 3 and not sign:
+                options += [(f"{x}{a}{x}", DOUBLE) for x in letters for a in (f"{x} ", f" {x}")]  # two words meet
+            options = [(y, cost) for text, cost in options for y in (_cuts(text) if " " not in text else (text, " " + text))]
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (p, out) in states.items():
             for text, cost in options:
+                if not b and text[:1] == " ":
+                    continue
                 a2, b2, p2 = a, b, p + cost
                 for x in text:
                     k = _class(x)
@@ -111,11 +131,11 @@ def decode(word: str, model: np.ndarray) -> tuple[str, float]:
                 if (a2, b2) not in new or p2 > new[a2, b2][0]:
                     new[a2, b2] = (p2, (out, text) if text else out)
         states, i = new, j
-    best = max((p + float(model[a, b, 0]), _spelt(out)) for (a, b), (p, out) in states.items())
+    best = max((p + (float(model[a, b, 0]) if b or not spelt else 0.0), _text(out)) for (a, b), (p, out) in states.items())
     return best[1], best[0]
 
 
-def _spelt(out: tuple | None) -> str:
+def _text(out: tuple | None) -> str:
     parts = []
     while out:
         out, text = out
@@ -126,6 +146,43 @@ def _spelt(out: tuple | None) -> str:
 # --- words of a chunk, disguised ones restored ---------------------------------------------------
 
 
+def _spelt_runs(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """(row, first byte, last byte + 1, what is spelt) of each run of letters, digits and signs that stand alone, with a letter among them."""
+    n = len(data)
+    if not n:
+        return
+    inside = _ALNUM[data] | _SIGN[data]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[off] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:n]
+    ends[:-1] &= ~inside[1:] | edge[1:n]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+    def sums(mask: np.ndarray) -> np.ndarray:
+        s = np.concatenate([[0], np.cumsum(mask)])
+        return s[stop] - s[start]
+
+    glyph = (data & 0xC0) != 0x80
+    kept = sums(_ALNUM[data] & glyph)
+    other = sums(inside & ~_ALNUM[data])
+    alone = ((kept == 1) & (sums(_EDGE[data]) == other)) | ((kept == 0) & (other == 1))
+    row = np.searchsorted(off, start, side="right") - 1
+    fresh = np.ones(len(start), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | ~alone[1:] | ~alone[:-1]
+    at = np.flatnonzero(fresh)
+    size = np.diff(np.append(at, len(start)))
+    letters = np.concatenate([[0], np.cumsum(sums(_LETTER[data]) > 0)])
+    run = (size >= LEAST_SPELT) & (letters[at + size] > letters[at])
+    for x, m in zip(at[run].tolist(), size[run].tolist(), strict=True):
+        a, b = int(start[x]), int(stop[x + m - 1])
+        own = inside[a:b].copy()
+        for y in range(x, x + m):
+            if kept[y]:
+                own[start[y] - a : stop[y] - a] &= _ALNUM[data[start[y] : stop[y]]]
+        yield int(row[x]), a, b, data[a:b][own].tobytes()
+
+
 def _restored(data: np.ndarray, off: np.ndarray, model: np.ndarray, known: dict[bytes, str]) -> tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
     """Words, begin and end of each one's core, which are replaced, and (row, restored word, its first word's number)."""
     w = tb.Words(data, off)
@@ -154,27 +211,22 @@ def _restored(data: np.ndarray, off: np.ndarray, model: np.ndarray, known: dict[
     again = np.zeros(n, dtype=bool)
     again[1:] = (low[1:] == low[:-1]) & (_LETTER | _SIGN)[data[1:]]
     long = end - begin - sums(again) > LONGEST
-    # A run of four single letters or more is one word, if the model finds that likelier.
-    single = (letters == 1) & (end - begin == 1) & (w.end - w.start <= 2)
     row = np.repeat(np.arange(len(w.count)), w.count)
     out: list[tuple[int, str, int]] = []
     replaced = np.zeros(len(w.start), dtype=bool)
     raw = data.tobytes()
-    if single.any():
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            for r in range(row[a], row[b - 1] + 1):
-                lo, hi = max(a, w.first[r]), min(b, w.first[r + 1])
-                if hi - lo >= 4:
-                    letters_ = raw[begin[lo] : end[hi - 1]].decode("utf-8", "ignore").lower()
-                    letters_ = "".join(c for c in letters_ if c.isalpha())
-                    for at in range(0, len(letters_), LONGEST):
-                        part = letters_[at : at + LONGEST]
-                        plain, p = decode(part, model)
-                        apart = sum(float(model[0, 0, k] + model[0, k, 0]) for k in map(_class, part))
-                        if p > apart:
-                            out.append((r, plain, int(lo)))
-                            replaced[lo:hi] = True
+    for r, first, last, spelt in _spelt_runs(data, off):
+        plain = known.get(b" " + spelt)
+        if plain is None:
+            plain = decode(spelt.decode("utf-8", "ignore"), model, spelt=True)[0]
+            if len(spelt) <= 4 * LONGEST:
+                known[b" " + spelt] = plain
+        if max(map(len, plain.split()), default=0) < 2:
+            continue
+        # The words that the run holds whole give way to it; what it shares with others is scored with both.
+        lo, hi = np.searchsorted(w.start, first, side="right") - 1, np.searchsorted(w.start, last)
+        out.append((r, plain, int(lo)))
+        replaced[lo:hi] |= (begin[lo:hi] >= first) & (end[lo:hi] <= last)
     for k in np.flatnonzero(odd & ~replaced):
         core = raw[begin[k] : end[k]]
         plain = known.get(core)

@@ -214,6 +214,15 @@ def test_toxicity_restores_stretched_and_long_words(insults):
     assert min(got[x] for x in bad) >= 0.3 > max(got[x] for x in good)
 
 
+def test_toxicity_restores_what_is_spelt_out(insults):
+    apart = " ".join
+    bad = [apart("astupididiot"), apart("youidiot"), "1 d 1 o t", "s t u p ! d", "l 0 $ e r", "i.d.i.o.t", "i-d-i-o-t", "i_d_i_o_t", "you-i.d.i.o.t!!", "(I D I O T!!)", "un c a b r ó n", "the s. t. u. p. i. d. river"]
+    bad += [apart("theriver" * n + "stupid" + "theriver" * n) for n in (2, 5, 60)] + [apart("theriver" * 4 + "thestupidpaper"), apart("youstuuuuupid"), apart("aloserreads")]
+    good = [apart("thegreatriver"), "a b c d e f g", "1 2 3 4 a 5", "a | b | c | d", "! ! ! ! !", "e.g. U.S.A. i.e.", "é ñ ó ü"]
+    got = insults(bad + good)
+    assert {x for x in bad if got[x] < 0.3} == set() == {x for x in good if got[x] >= 0.3}
+
+
 def test_decontamination_equals_full_scoring(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     rows = docs.select("doc_id", "text").collect()
