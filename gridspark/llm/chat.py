@@ -2,8 +2,9 @@
 
 Turns stream in order of their conversation.  Running sums of turn tokens decide where a window
 ends: always between turns.  Each later window starts with the system turn and as much of the
-preceding turns as the history budget allows; these repeats are not trained on again.  A turn that
-is larger than the budget has a window of its own and stays whole.
+preceding turns as the history budget allows; these repeats are not trained on again.  Where the
+system turn and one new turn exceed the budget together, the window holds these two and nothing
+else: both stay whole, and the window is larger than the budget.
 
 One task holds a window and a short history at a time, never a whole conversation.
 """
@@ -101,12 +102,10 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, count:
         n = count(body)
         if len(now) > repeated and total - begun + n > budget:
             yield close()
-            head = [system] if system and not any(x is system for x in past) else []
-            now = [*head, *past]
-            while len(now) > len(head) and sum(x[2] for x in now) + n > budget:  # repeats give way to new turns
+            head = [system] if system else []
+            now = [*head, *(x for x in past if x is not system)]
+            while len(now) > len(head) and sum(x[2] for x in now) + n > budget:  # other repeats give way to new turns
                 del now[len(head)]
-            if sum(x[2] for x in now) + n > budget:
-                now = []
             repeated, begun = len(now), total - sum(x[2] for x in now)
         turn = (role, body, n)
         now.append(turn)

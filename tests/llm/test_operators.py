@@ -280,6 +280,13 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_conversations(d.limit(0))).count() == 0
 
 
+def test_every_later_window_starts_with_the_system_turn():
+    turns = [("system", "s " * 20), ("user", "u " * 60), ("assistant", "a " * 1000), ("user", "v " * 1010), ("assistant", "b " * 30)]
+    got = list(chat.windows(iter(turns), 1024, 200, chat.counter()))
+    assert [(repeated, n, tokens) for repeated, n, tokens, *_ in got] == [(0, 2, 80), (1, 2, 1020), (1, 2, 1030), (1, 2, 50)]
+    assert len({text.split("<</SYS>>")[0] for *_, text, _ in got}) == 1
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 40
     rows = [(i, f"http://a{i % 7}.example.org/{i}?q\t%", big if i % 3 else f"{i}") for i in range(3000)] + [(9000, None, None), (9001, "no scheme", big), (None, "http://x/", big)]
