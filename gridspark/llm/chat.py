@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed
+
 BUDGET, HISTORY = 1024, 128
 #: The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<<TEXT>>")
@@ -138,24 +140,7 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
             for k, (repeated, n, tokens, text, loss) in enumerate(windows(turns, budget, history, count)):
                 yield pa.RecordBatch.from_arrays([conv, *(pa.array([v], t) for v, t in ((k, pa.int32()), (repeated, pa.int32()), (n, pa.int32()), (tokens, pa.int64()), (text, pa.string()), (loss, arrow)))], ["c", "window", "n_repeated", "n_turns", "n_tokens", "formatted", "loss"])
 
-    return _packed(rows, run, f"`{conv_col}` {kind}, {WINDOW}")
-
-
-def _packed(rows: DataFrame, run, schema: str, most: int = 1 << 22) -> DataFrame:
-    """``mapInArrow`` whose many small batches are joined to larger ones."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.nbytes
-            if size > most or len(held) >= 2000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return rows.mapInArrow(joined, schema)
+    return packed(rows, run, f"`{conv_col}` {kind}, {WINDOW}")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Iterator[tuple]]]:
@@ -197,4 +182,4 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([conv, *(pa.array([v]) for v in (n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))], ["c", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     rows = formatted.select(conv_col, "n_repeated", "formatted", "loss")
-    return _packed(rows, run, f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return packed(rows, run, f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

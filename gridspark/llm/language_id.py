@@ -12,6 +12,7 @@ vectors; whole texts count, in chunks of bounded size.
 from __future__ import annotations
 
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ SEED = 20240229
 #: Prototypes are sent to every worker: so many languages at most (4096 of 8 KB are 32 MB).
 MOST_LANGUAGES = 4096
 UNDETERMINED = "und"
-_BITS = 6
-_CLASSES = 1 << _BITS
+#: Letter classes: a-z, other letters of Latin scripts (hashed), and letters of all other scripts (hashed).
+LATIN, CLASSES = 64, 4096
 _UNIT = float(1 << 24)
 #: Bound vectors widened at once, and counts held at once.
 _WIDEN, _COUNTS = 2048, 1 << 21
@@ -35,26 +36,30 @@ _WIDEN, _COUNTS = 2048, 1 << 21
 
 @functools.cache
 def _letter_classes() -> np.ndarray:
-    """Class of each code point of the basic plane: 0 for no letter, 1-26 for a-z, the rest hashed."""
-    out = np.zeros(1 << 16, dtype=np.uint8)
-    for i in range(1 << 16):
+    """Class of each code point: 0 for no letter, 1-26 for a-z, below ``LATIN`` for other Latin letters, the rest above."""
+    out = np.zeros(sys.maxunicode + 1, dtype=np.uint16)
+    for i in range(sys.maxunicode + 1):
         if 0xD800 <= i < 0xE000 or not (c := chr(i)).isalpha():
             continue
         low = ord(c.lower()[0])
-        out[i] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % (1 << 32) % (_CLASSES - 27)
+        if 97 <= low <= 122:
+            out[i] = low - 96
+        else:
+            first, last = (27, LATIN) if low < 0x250 else (LATIN, CLASSES)
+            out[i] = first + low * 2654435761 % (1 << 32) % (last - first)
     return out
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(_CLASSES, DIMENSIONS))
+    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(CLASSES, DIMENSIONS))
 
 
-def _bound(grams: np.ndarray) -> np.ndarray:
-    """The bound vectors of trigram numbers, in bytes."""
-    v, mask = _letters(), _CLASSES - 1
-    out = np.roll(v, 2, axis=1)[grams >> 2 * _BITS]
-    out *= np.roll(v, 1, axis=1)[grams >> _BITS & mask]
+def _bound(grams: np.ndarray, bits: int = 6) -> np.ndarray:
+    """The bound vectors of trigram numbers (three classes of so many bits), in bytes."""
+    v, mask = _letters(), (1 << bits) - 1
+    out = np.roll(v[grams >> 2 * bits], 2, axis=1)
+    out *= np.roll(v[grams >> bits & mask], 1, axis=1)
     out *= v[grams & mask]
     return out
 
@@ -74,7 +79,9 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
     two = (b & 0x1F) << 6 | tail[lead + 1]
     three = (b & 0x0F) << 12 | tail[lead + 1] << 6 | tail[lead + 2]
-    point = np.where(b < 0x80, b, np.where(b < 0xE0, two, np.where(b < 0xF0, three, 0)))
+    point = np.where(b < 0x80, b, np.where(b < 0xE0, two, three))
+    far = np.flatnonzero(b >= 0xF0)
+    point[far] = (b[far] & 0x07) << 18 | tail[lead[far] + 1] << 12 | tail[lead[far] + 2] << 6 | tail[lead[far] + 3]
     code = _letter_classes()[point]
     row = (np.searchsorted(offsets, lead, side="right") - 1).astype(np.int32)
     n = len(offsets) - 1
@@ -90,23 +97,29 @@ def bundles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         code, row = _codes(data, off)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])
-        code, row = code[keep].astype(np.int32), row[keep]
-        gram = code[:-2] << 2 * _BITS | code[1:-1] << _BITS | code[2:]
+        code, row = code[keep], row[keep]
+        bits = 6 if not len(code) or code.max() < LATIN else 12
+        code = code.astype(np.int32 if bits == 6 else np.int64)
+        gram = code[:-2] << 2 * bits | code[1:-1] << bits | code[2:]
         ok = (row[:-2] == row[2:]) & (gram != 0)
         gram, row = gram[ok], row[:-2][ok]
-        seen = np.flatnonzero(np.bincount(gram, minlength=1)) if len(gram) else np.zeros(0, np.int64)
-        if not len(seen):
+        if not len(gram):
             yield lo, hi, np.zeros((hi - lo, DIMENSIONS), np.float32)
             continue
-        place = np.zeros(int(seen[-1]) + 1, dtype=np.int64)
-        place[seen] = np.arange(len(seen))
-        bound, out = _bound(seen), np.zeros((hi - lo, DIMENSIONS), np.float32)
+        if bits == 6:
+            seen = np.flatnonzero(np.bincount(gram))
+            place = np.zeros(int(seen[-1]) + 1, dtype=np.int64)
+            place[seen] = np.arange(len(seen))
+            gram = place[gram]
+        else:
+            seen, gram = np.unique(gram, return_inverse=True)
+        bound, out = _bound(seen, bits), np.zeros((hi - lo, DIMENSIONS), np.float32)
         step = max(1, _COUNTS // len(seen))
         limits = np.searchsorted(row, np.arange(0, hi - lo + step, step))
         for s, (a, b) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
             n = min(step, hi - lo - s * step)
             if n > 0:
-                counts = np.bincount((row[a:b].astype(np.int64) - s * step) * len(seen) + place[gram[a:b]], minlength=n * len(seen))
+                counts = np.bincount((row[a:b].astype(np.int64) - s * step) * len(seen) + gram[a:b], minlength=n * len(seen))
                 out[s * step : s * step + n] = _bundle(counts.reshape(n, len(seen)), bound)
         yield lo, hi, out
 
@@ -188,7 +201,11 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language is determined with a cosine of ``least`` or more, all columns kept."""
+    """The rows whose language is determined with a cosine of ``least`` or more, all columns kept.
+
+    Null and empty texts and those without letters go; repeated rows go or stay together.  Columns
+    are taken by place, so names do not matter.
+    """
     names, prototypes = model
     shared = docs.sparkSession.sparkContext.broadcast((names, prototypes))
     at = docs.columns.index(text_col)

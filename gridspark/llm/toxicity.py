@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .language_id import _BITS, _CLASSES, _codes, _letter_classes
+from .language_id import CLASSES, LATIN, _codes, _letter_classes
 
 #: What signs and digits stand for in disguised words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
@@ -40,6 +40,9 @@ LONGEST = 40
 #: Letters, digits and signs in a row, each alone, that are taken as spelt out.
 LEAST_SPELT = 4
 _PREFIXES = (4, 5, 6)
+_BITS, _CLASSES = 6, 64
+#: Letter classes of the character model: those of Latin letters, which letters of other scripts share.
+_FOLD = np.array([c if c < LATIN else 27 + c % (_CLASSES - 27) for c in range(CLASSES)], dtype=np.uint8)
 _Z = 2.58
 
 _ALNUM = np.zeros(256, dtype=bool)
@@ -66,7 +69,7 @@ def learn_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 code, row = _codes(data, off)
                 keep = np.ones(len(code), dtype=bool)
                 keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])
-                code = code[keep].astype(np.int64)
+                code = _FOLD[code[keep]].astype(np.int64)
                 total += np.bincount(code[:-2] << 2 * _BITS | code[1:-1] << _BITS | code[2:], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
@@ -84,7 +87,7 @@ def learn_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _class(c: str) -> int:
-    return int(_letter_classes()[ord(c)]) if ord(c) < 1 << 16 else 0
+    return int(_FOLD[_letter_classes()[ord(c)]])
 
 
 def _cuts(text: str) -> list[str]:

@@ -319,6 +319,86 @@ def test_tiff(spark, odd, empty):
     assert len(broken) == 2 and all(r.error and r.page is None for r in broken)
 
 
+def test_tiff_layouts(spark):
+    rnd = random.Random(2)
+    raw = bytes(rnd.choice((0, 0, 0, 7, rnd.randrange(256))) for _ in range(192 * 300))
+    layouts = [(c, p, t, s) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (False, True) for s in (1, 2)]
+    for layout in layouts:
+        for order in "<>":
+            got = tiff.read(tiff.write(raw, lambda _, x=layout: x, order))
+            assert [r[7] for r in got] == [raw] and got[0][:7] == (0, 1, 64, 300, 3, layout[0], layout[1])
+    # Every layout of the writer's choice is used, whatever the size of the pages.
+    for rows in (1, 40):
+        chosen = collections.Counter(tiff.choice(bytes(rnd.randrange(256) for _ in range(192 * rows))) for _ in range(400))
+        assert len(chosen) == 24 and all(80 < sum(n for x, n in chosen.items() if x[0] == c) < 190 for c in (tiff.LZW, tiff.DEFLATE, tiff.PACKBITS))
+
+
+def test_tiff_damage(spark):
+    rnd = random.Random(3)
+    page = tiff.PAGE_ROWS * tiff.ROW
+    raw = bytes(rnd.randrange(4) for _ in range(2 * page + 192 * 5))
+    good = tiff.write(raw, lambda _: (tiff.LZW, 1, False, 1))
+    fields = tiff.directories(good)
+    strip = fields[1][273][3]
+    damaged = good[:strip] + b"\xff" * 40 + good[strip + 40 :]
+    assert [(r[0], r[1], r[7] is None, r[8] is None) for r in tiff.read(damaged)] == [(0, 3, False, True), (1, 3, True, False), (2, 3, False, True)]
+    assert [r[0] for r in tiff.read(good[: fields[2][273][0]])][:2] == [0, 1]
+    small = tiff.write(b"a" * 192, lambda _: (tiff.NONE, 1, False, 1))
+    at = small.index((256).to_bytes(2, "little") + (4).to_bytes(2, "little"))
+    for width in (0, 1 << 31):
+        bad = small[: at + 8] + width.to_bytes(4, "little") + small[at + 12 :]
+        assert tiff.read(bad)[0][0] == 0 and tiff.read(bad)[0][8]
+    bomb = zlib.compress(b"\0" * 10_000_000)
+    assert len(tiff.unpack(bomb, tiff.DEFLATE, 100)) == 100
+    files = spark.createDataFrame([(1, 5, 5, "h", damaged), (2, 5, 5, "h", small), (3, 5, 5, "h", b"II*\0junk")], "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    got = {r.doc_id: r for r in tiff.digests(tiff.pages(files)).collect()}
+    assert got[1].payload_sha256 is None and got[3].payload_sha256 is None and got[2].payload_sha256 == hashlib.sha256(b"a" * 192).hexdigest()
+
+
+def test_language_of_letters_beyond_the_basic_plane(spark):
+    gothic, han = "\U00010330\U00010331\U00010332\U00010333 ", "\U00020000\U00020001\U00020002"
+    rows = [(1, gothic * 9, "got"), (2, han * 9, "zh"), (3, "the end of it " * 9, "en"), (4, "Ελληνικά γράμματα " * 9, "el"), (5, "русские буквы " * 9, "ru")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.detect(d, language_id.learn(d)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, _, x in rows} and min(s for _, s in got.values()) > 0.99
+
+
+def test_predictions_equal_brute_force(spark, docs):
+    """Prototypes and cosines recomputed text by text, gram by gram."""
+    rows = [(r.text or "", r.lang) for r in docs.limit(60).collect()]
+    v, classes = language_id._letters().astype(int), language_id._letter_classes()
+    two, one = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
+
+    def bundle(text):
+        code = [0]
+        for c in text:
+            k = int(classes[ord(c)])
+            if k or code[-1]:
+                code.append(k)
+        code += [0] if code[-1] else []
+        out = np.zeros(language_id.DIMENSIONS)
+        for (a, b, c), n in collections.Counter(zip(code, code[1:], code[2:], strict=False)).items():
+            out += n * two[a] * one[b] * v[c]
+        return out
+
+    vectors = [bundle(t) for t, _ in rows]
+    sums = {}
+    for x, (_, lang) in zip(vectors, rows, strict=True):
+        if lang is not None and x.any():
+            sums[lang] = sums.get(lang, 0) + x / np.linalg.norm(x)
+    names = sorted(sums)
+    proto = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    langs, scores = language_id.classify(pa.array([t for t, _ in rows]), *model)
+    assert model[0] == names
+    for x, lang, s in zip(vectors, langs, scores, strict=True):
+        if x.any():
+            cosine = proto @ x / np.linalg.norm(x)
+            assert names[int(cosine.argmax())] == lang and np.isclose(max(0, cosine.max()), s, atol=1e-4)
+        else:
+            assert (lang, s) == ("und", 0)
+
+
 def test_url_filter(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("net", "", "allow"), ("com", "/", "allow"), ("example.com", "/", "block"), ("example.org", "/d", "block"), ("example.org", "/de/1", "allow")]
     urls = ["http://A.Example.NET/en/x?y", "https://net/", "http://net", "http://xnet/", "ftp://example.org/de/12#z", "http://b.example.org/de", "http://example.com?x=http://net/", None, "nothing", "http:///a", "http://com/\n/x"]
