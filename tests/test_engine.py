@@ -1,4 +1,9 @@
 import datetime as dt
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -130,3 +135,12 @@ def test_plans_have_no_cartesian_product_and_push_filters(spark, capsys):
     QUERIES["subset_box"](spark, SF).explain()
     regrid.regrid(QUERIES["select_label"](spark, SF), QUERIES["grid_from_data"](spark, SF)).explain()
     assert "CartesianProduct" not in capsys.readouterr().out
+
+
+def test_the_rest_imports_without_the_training_data_operators(tmp_path):
+    root = pathlib.Path(__file__).parent.parent
+    for gone in (("gridspark/llm", "tests/llm"), ("gridspark/llm", "tests/llm", "corpus_pipeline.py")):
+        tree = tmp_path / str(len(gone))
+        shutil.copytree(root, tree, ignore=lambda folder, names, gone=gone: [n for n in names if n == ".git" or os.path.relpath(os.path.join(folder, n), root) in gone])
+        code = "import __spark_entry__ as e; q = e.queries(); assert q.keys() >= e.oracle_sql().keys() and 'flagship' in q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=tree, env={**os.environ, "PYTHONPATH": str(tree)}, check=True)
