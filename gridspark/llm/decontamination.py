@@ -4,10 +4,14 @@ Every training text is cut into overlapping passages of words, and each passage
 Passages grow with the items: an item of up to ``HALF * 2**k`` words is looked for in passages of
 twice as many, which start so near each other that one of them holds a verbatim copy whole.  An
 item's score is the sum of its terms' BM25 impacts found in the passage, as a share of the score of
-the item with itself.  Items lie in blocks; each term keeps its largest share in each block.  A
-passage skips a block whose bound stays below the threshold: the sum of the block maxima of its
-terms, plus what all terms of the non-essential lists (very common ones, never read here) could add.
-What is left is scored in full, and every item at or above the threshold is taken, however many.
+the item with itself.  Items lie in blocks; each term keeps its largest share in each block and over
+all.  The search is WAND with block maxima, of many passages at once:
+
+1. A passage whose terms' largest shares, and what all non-essential terms (very common ones, whose
+   lists are never read) could add, stay below the threshold reads no list.
+2. The lists of the others are merged in the order of blocks.  The next block in any of a passage's
+   lists is a pivot; it is opened only if the maxima of the terms that have it reach the threshold.
+3. What is opened is scored in full, and every item at or above the threshold is taken, however many.
 
 A taken item counts only if its question and its answer are both found in the text around the
 passage, by word n-grams.
@@ -26,13 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import materialize
 
 K1, B = 1.2, 0.75
 #: Words between the starts of passages, for items of at most so many words; doubled until a longer item fits.  A passage has twice as many.
 HALF = 64
 BLOCK_ITEMS = 4
-#: Items in one index; a larger benchmark is indexed in shards, each met with all texts in turn.
+#: Items in one index; a larger benchmark is indexed in shards.
 SHARD_ITEMS = 4096
+#: Shards that one pass over the texts meets (they are cut into words once); of more, further passes.
+PASS_SHARDS = 4
+#: Passages searched at once.
+PASSAGES = 8192
 #: Words of an item that the index holds together in a shard at most (bounds what is sent to workers).
 SHARD_WORDS = 1 << 20
 #: A term in more than this share of the items is non-essential.
@@ -84,6 +93,7 @@ class Index:
     lists: np.ndarray  # limits of each essential term's blocks
     blocks: np.ndarray
     maxima: np.ndarray
+    top: np.ndarray  # of each term: the largest of its block maxima
     slack: np.ndarray  # of each block: most that its non-essential terms add
     block_terms: list[np.ndarray]  # its items' terms, one item after the other
     block_shares: list[np.ndarray]
@@ -130,9 +140,12 @@ def _build_index(half: int, known: list[int], ids: list, texts: list[str], hashe
             h = _item_hashes(part)
             into.append((min(n, len(h)), np.unique(_grams(h, n))))
     parts = [range(k, min(k + BLOCK_ITEMS, len(scored))) for k in range(0, len(scored), BLOCK_ITEMS)]
+    maxima = np.array([most[k] for k in keys])
+    top = np.zeros(len(terms))
+    np.maximum.at(top, np.array([x for x, _ in keys], dtype=np.int64), maxima)
     return Index(
         half, [ids[i] for _, i, *_ in scored], terms, question, answer, lists,
-        np.array([b for _, b in keys], dtype=np.int64), np.array([most[k] for k in keys]), slack,
+        np.array([b for _, b in keys], dtype=np.int64), maxima, top, slack,
         [np.concatenate([item_terms[i] for i in p]) for p in parts],
         [np.concatenate([item_shares[i] for i in p]) for p in parts],
         [np.concatenate([[0], np.cumsum([len(item_terms[i]) for i in p])[:-1]]) for p in parts],
@@ -144,6 +157,41 @@ def _found(part: tuple[int, np.ndarray], h: np.ndarray) -> float:
     return float(np.isin(grams, _grams(h, n)).mean()) if n and len(h) >= n else 1.0 if not n else 0.0
 
 
+def _pivots(index: Index, term: np.ndarray, half: np.ndarray, half_row: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """(passage, block) in order, of blocks whose items the passage could lift to the threshold."""
+    n_terms, n_blocks = len(index.terms), len(index.slack)
+    enough = threshold - 1e-9
+    follows = np.append(half_row[1:] == half_row[:-1], False)
+    for s in range(0, len(half_row), PASSAGES):
+        e = min(s + PASSAGES, len(half_row))
+        lo, hi = np.searchsorted(half, [s, e + 1])
+        lo, hi = lo + np.flatnonzero(term[lo:hi] >= 0), hi
+        p, t = half[lo], term[lo]
+        before = (p > s) & follows[np.maximum(p - 1, 0)]  # a half is also the second one of the passage before
+        both = np.unique(np.concatenate([p * n_terms + t, (p[before] - 1) * n_terms + t[before]]))
+        p, t = both // n_terms, both % n_terms
+        alive = np.bincount(p - s, weights=index.top[t], minlength=e + 1 - s) + index.slack.max() >= enough
+        alive[e - s :] = False
+        keep = alive[p - s]
+        p, t = p[keep], t[keep]
+        at, size = index.lists[t], index.lists[t + 1] - index.lists[t]
+        place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(p, size) * n_blocks + index.blocks[place]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        bound = np.add.reduceat(index.maxima[place[order]], begins) if len(begins) else np.zeros(0)
+        key = key[begins]
+        # A block that only non-essential terms could lift stands in no list.
+        alone = np.flatnonzero(index.slack >= enough)
+        if len(alone):
+            every = (np.arange(s, e)[:, None] * n_blocks + alone).ravel()
+            key, bound = np.append(key, np.setdiff1d(every, key)), np.append(bound, np.zeros(len(every) - np.isin(every, key).sum()))
+            order = np.argsort(key)
+            key, bound = key[order], bound[order]
+        yield from ((k // n_blocks, k % n_blocks) for k in key[bound + index.slack[key % n_blocks] >= enough].tolist())
+
+
 def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(row, item place, best score, question and answer overlap, passages) for verified hits, by row and item."""
     if not len(index.ids) or not len(w.start):
@@ -157,20 +205,9 @@ def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, i
     half_row = np.repeat(np.arange(len(w.count)), halves)
     row = np.repeat(np.arange(len(w.count)), w.count)
     half = first_half[row] + (np.arange(len(h)) - w.first[row]) // index.half
-    known = term >= 0
-    once = np.unique(half[known] * len(index.terms) + term[known])  # a term adds once to each half
-    in_half, once = once // len(index.terms), once % len(index.terms)
-    lo, hi = index.lists[once], index.lists[once + 1]
-    size = hi - lo
-    place = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-    n_blocks = len(index.slack)
     hits: dict[tuple[int, int], list] = {}
-    bound = np.bincount(np.repeat(in_half, size) * n_blocks + index.blocks[place], weights=index.maxima[place], minlength=int(first_half[-1]) * n_blocks).reshape(-1, n_blocks)
-    joint = bound.copy()
-    same = half_row[1:] == half_row[:-1]
-    joint[:-1][same] += bound[1:][same]
     present, last, own = np.zeros(len(index.terms), dtype=bool), -1, np.zeros(0, np.int64)
-    for p, b in zip(*np.nonzero(joint + index.slack >= threshold - 1e-9), strict=True):
+    for p, b in _pivots(index, term, half, half_row, threshold):
         if p != last:
             present[own] = False
             r = half_row[p]
@@ -192,11 +229,12 @@ def search(index: Index, w: tb.Words, threshold: float) -> Iterator[tuple[int, i
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
-    """The index shards of a benchmark, each with an index for every passage length; term statistics are those of all items.
+    """For each pass over the texts the indexes of its shards; term statistics are those of all items.
 
-    Items of null text or without words are never found.  Items of equal text are all kept.
+    Items of null text or without words are never found.  Items of equal text are all kept; an item
+    that is repeated whole counts once.
     """
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,24 +244,31 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(np.zeros(pair.shape[1], np.int64))], ["t", "words"])
                 yield pa.RecordBatch.from_arrays([pa.array([None] * len(w.count), pa.int64()), pa.array(w.count.astype(np.int64))], ["t", "words"])
 
-    counted = items.select("text").mapInArrow(postings, "t bigint, words bigint").groupBy("t").agg(F.count_if(F.expr("words > 0 or t is not null")).alias("n"), F.sum("words").alias("words"))
+    terms = lambda of: of.select("text").mapInArrow(postings, "t bigint, words bigint")
+    counted = materialize(terms(items).groupBy("t").agg(F.count_if(F.expr("words > 0 or t is not null")).alias("n"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("all")), "terms")
     whole = counted.where("t is null").first()
     if whole is None or not whole.words:
         return
-    shards = max(1, -(-items.count() // SHARD_ITEMS), -(-int(whole.words) // SHARD_WORDS))
+    shards = max(1, -(-whole["all"] // SHARD_ITEMS), -(-int(whole.words) // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards))
+    held: list[Index] = []
     for k in range(shards):
-        rows = items.where(shard == k).orderBy("id", "text").collect()
-        wanted = {int(x) for r in rows for x in _item_hashes(r.text or "").view(np.int64)}
-        df = {r.t: r.n for r in (counted.where("t is not null").toLocalIterator() if wanted else []) if r.t in wanted}
-        yield build_indexes([r.id for r in rows], [r.text for r in rows], df, whole.n, whole.words / whole.n)
+        mine = items.where(shard == k)
+        # No more terms than the shard has words come to the driver.
+        df = {r.t: r.n for r in counted.where("t is not null").join(terms(mine).select("t").distinct(), "t", "left_semi").toLocalIterator()}
+        rows = sorted(mine.collect(), key=lambda r: (r.id is None, r.id, r.text or ""))
+        held += build_indexes([r.id for r in rows], [r.text for r in rows], df, whole.n, whole.words / whole.n)
+        if k % PASS_SHARDS == PASS_SHARDS - 1 or k == shards - 1:
+            yield held
+            held = []
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``id_col, item_col, score, question_overlap, answer_overlap, passages`` for each row and item it leaks.
 
-    A null, empty or wordless text leaks nothing; texts and items of any length are searched whole.  Repeated
-    rows give repeated results.  Other columns are not read.
+    A null, empty or wordless text leaks nothing; texts and items of any length are searched whole.
+    Repeated rows give repeated results; items of equal text are each found.  Where a score ties
+    with the threshold the item is found.  Other columns are not read, so their names cannot clash.
     """
     out, kind, item_kind = None, docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, question_overlap double, answer_overlap double, passages int"
@@ -249,7 +294,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows that leak no item, with all their columns."""
+    """The rows that leak no item, with all their columns, by place, so names do not matter.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together.
+    """
     at = docs.columns.index(text_col)
 
     def filterer(shared):

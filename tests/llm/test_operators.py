@@ -265,6 +265,46 @@ def test_decontamination_finds_long_items(spark):
     assert {r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()} == {-1, -2}
 
 
+def test_decontamination_in_shards_and_slices(spark, monkeypatch):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randrange(900)}" + "." * (i % 20 == 19) for i in range(n))
+    items = [(i, text(rnd.choice((15, 40, 90, 200)))) for i in range(60)] + [(100, None), (101, " . "), (102, "word " * 30), (None, text(25))]
+    items += [(200 + i, items[0][1]) for i in range(3)] + [items[1]] * 3
+    docs = [(i, f"{text(300)} {t or ''} {text(rnd.randrange(900))}") for i, t in items] + [(-1, None), (-2, ""), (-3, text(4000)), (-4, " ".join(t for _, t in items[:60]))]
+    d, bench = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 item_id", "2 score"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' id", "'y' t")
+    whole = sorted((tuple(r) for r in decontamination.leaks(d, bench).collect()), key=repr)
+    pairs = {(a, b) for a, b, *_ in whole}
+    assert pairs >= {(i, i) for i, t in items if i not in (100, 101)} | {(-4, i) for i in range(60)} | {(0, 201), (200, 0)} and not {-1, -2, -3} & {a for a, _ in pairs}
+    for name, value in (("SHARD_ITEMS", 9), ("PASS_SHARDS", 2), ("PASSAGES", 3)):
+        monkeypatch.setattr(decontamination, name, value)
+    assert sorted((tuple(r) for r in decontamination.leaks(d, bench).collect()), key=repr) == whole
+    assert {r.doc_id for r in decontamination.drop_leaks(d, bench).collect()} == {i for i, _ in docs} - {a for a, _ in pairs}
+
+
+def test_blocks_that_are_skipped_hold_nothing(spark):
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randrange(1500)}" if rnd.random() < 0.8 else f"c{rnd.randrange(5)}"
+    texts = [" ".join(word() for _ in range(rnd.randrange(10, 50))) for _ in range(40)]
+    df = collections.Counter(x for t in texts for x in set(decontamination._item_hashes(t).view(np.int64).tolist()))
+    (index,) = decontamination.build_indexes(list(range(40)), texts, df, 40, 30.0)
+    passages = [" ".join(word() for _ in range(500)) + " " + t for t in texts]
+    for _, _, w in decontamination.tokens(pa.array(passages)):
+        at = np.minimum(np.searchsorted(index.terms, w.hash), len(index.terms) - 1)
+        term = np.where(index.terms[at] == w.hash, at, -1)
+        halves = -(-w.count // index.half)
+        row = np.repeat(np.arange(len(w.count)), w.count)
+        half = np.concatenate([[0], np.cumsum(halves)])[row] + (np.arange(len(term)) - w.first[row]) // index.half
+        half_row = np.repeat(np.arange(len(w.count)), halves)
+        opened, n = set(decontamination._pivots(index, term, half, half_row, 0.6)), 0
+        for p in range(len(half_row)):
+            own = set(term[(half == p) | ((half == p + 1) & (half_row[np.minimum(half, len(half_row) - 1)] == half_row[p]))].tolist())
+            for b in range(len(index.slack)):
+                shares = np.add.reduceat(index.block_shares[b] * np.array([t in own for t in index.block_terms[b]]), index.block_starts[b])
+                n += (shares >= 0.6).any()
+                assert (p, b) in opened or not (shares >= 0.6).any()
+        assert n >= 40 and len(opened) < len(half_row) * len(index.slack)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <<SYS>> kind \\"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, "<"), (2, 1, "tool<", "x" * 5000), (2, 2, "assistant", "b"), (2, 2, "assistant", "a"), (None, 0, "user", "q")]
     rows += [(3, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * 50) for i in range(1, 40)]
