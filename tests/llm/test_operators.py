@@ -497,3 +497,36 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_mixing_copies_equal_brute_force(spark, monkeypatch):
+    """The dual is solved and the rounding redone in plain Python; buckets of a few rows."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    rnd = random.Random(11)
+    rows = [(i, " ".join("w" * rnd.choice((1, 2, 3, 5, 8, 13, 40))), rnd.choice("abcde")) for i in range(600)] + [(600 + i, "w w w", "b") for i in range(300)] + [(1000, None, "a"), (1001, "", None)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 id", "2 key", "3 copies", "4 bucket")).collect()
+    assert len(got) == len(rows)
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        target, sizes = mine[0].target, np.array([r.size for r in mine], dtype=float)
+        scale = sizes[sizes > 0].mean() if (sizes > 0).any() else 1.0
+        lo, hi = -1e4, 1e4
+        rate = lambda lam, sizes=sizes, scale=scale: np.where(sizes > 0, 2 / (1 + np.exp(-np.clip(lam * sizes / scale, -700, 700))), 0)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (sizes * rate(mid)).sum() < target else (lo, mid)
+        r = rate(lo)
+        taken = {s: sum(x.copies for x in mine if x.size == s) for s in set(sizes.tolist())}
+        # Along sizes, copies keep up with the running sum of rates to within one.
+        run = copies = 0.0
+        for s in sorted(taken):
+            run, copies = run + r[sizes == s].sum(), copies + taken[s]
+            assert abs(run - copies) < 1 + 1e-3
+        assert all(np.floor(x - 1e-4) <= c.copies <= np.ceil(x + 1e-4) for x, c in zip(r, mine, strict=True))
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = ["b", "a", "é", "z", "A", "", "\U0001f600", "￿", None, *(f"s{i}" for i in range(200))]
+    got = {r.source: r["rank"] for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()}
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    assert got == {s: i for i, s in enumerate(order)}
