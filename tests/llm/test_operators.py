@@ -530,3 +530,25 @@ def test_sources_are_ranked_by_code_point(spark):
     got = {r.source: r["rank"] for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()}
     order = sorted(names, key=lambda s: (s is None, s or ""))
     assert got == {s: i for i, s in enumerate(order)}
+
+
+def test_url_rules_that_nest_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SALT_ROWS", 40)
+    rnd = random.Random(12)
+    host = lambda: ".".join(rnd.choice(("a", "b", "a-b", "ab", "é", "A")) for _ in range(rnd.randrange(1, 5)))
+    path = lambda: rnd.choice(("", "/", "/a", "/a/", "/a/b", "/ab", "/\U0010ffff", "/é", "/a/b/c"))
+    rules = [(host(), path(), rnd.choice(("allow", "block"))) for _ in range(120)] + [("", "/", "block"), (None, "/", "block"), ("b", None, "block")]
+    urls = [None, "", "://", "x://a.b", "no scheme"] * 3 + [f"http://{host()}{path()}{rnd.choice(('', '?q', '#f', 'x'))}" for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://a.b/a")], "page_id long, url string").selectExpr("*", "1 host", "'k' key", "2 at")
+    rule_rows = spark.createDataFrame(rules, "host string, path string, action string")
+    lower = lambda h: re.sub("[A-Z]", lambda m: m[0].lower(), h)
+    plain = [(lower(h), p or "", a) for h, p, a in rules if h]
+    for r in url_filter.judge(pages, rule_rows, "block").collect():
+        url = "http://a.b/a" if r.page_id is None else urls[r.page_id]
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        h = re.split("[/?#]", rest, maxsplit=1)[0]
+        p, h = re.split("[?#]", rest[len(h) :], maxsplit=1)[0], lower(h)
+        fit = [(len(x + y), a, x + y) for x, y, a in plain if h and (h == x or h.endswith("." + x)) and p.startswith(y)]
+        assert (r.host, r.path, r.rule, r.verdict) == (h, p, max(fit)[2] if fit else None, max(fit)[1] if fit else "block")
+    assert url_filter.judge(pages, rule_rows.limit(0)).where("rule is not null or verdict <> 'allow'").count() == 0
+    assert url_filter.judge(pages.limit(0), rule_rows).count() == 0
