@@ -32,10 +32,12 @@ BLOCK_LINES = 1000
 MOST_BROADCAST = 200_000
 #: Parts of the index at most: their first keys are sent to every reader (a few hundred bytes each).
 MOST_PARTS = 20_000
-_NO_ID = -(1 << 63)
+#: Captures of one part of the index, and requests that one task reads, about.
+PART_ROWS = 50_000
 
-MANIFEST = "key string, id bigint, archive string, at bigint, size bigint"
-PART = "first_key string, first_id bigint, blocks string, directory string"
+# An id stands in archives and index as text: empty for null, else behind an equals sign.
+MANIFEST = "key string, id string, archive string, at bigint, size bigint"
+PART = "first_key string, first_id string, blocks string, directory string"
 
 
 def reversed_url_key(url: Column) -> Column:
@@ -45,6 +47,10 @@ def reversed_url_key(url: Column) -> Column:
     return F.coalesce(F.when(F.contains(url, F.lit("://")), F.concat(F.array_join(F.reverse(F.split(lowered, r"\.")), ","), F.lit(")"), rest)).otherwise(F.concat(F.lit(")"), url)), F.lit(")"))
 
 
+def id_text(page_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), page_id.cast("string")), F.lit(""))
+
+
 def _open(path: str):
     """File system and path of a URI or a local path."""
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
@@ -53,28 +59,28 @@ def _open(path: str):
 # --- records ---------------------------------------------------------------------------------------
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One record, as a gzip member.  A revisit keeps the HTTP header of the full payload, not its bytes."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{json.dumps(page_id)[1:-1]}>",
         f"WARC-Target-URI: {json.dumps(url)[1:-1]}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
-        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]),
+        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{json.dumps(refers_to)[1:-1]}>"]),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
+def parse(raw: bytes) -> tuple[str | None, int, str, str, str | None]:
     """(page, payload bytes, payload digest, type, page referred to); a response's digest is computed from its payload."""
     data = zlib.decompress(raw, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda s: int(s[len("<urn:page:") : -1]) if len(s) > len("<urn:page:>") else None
+    number = lambda s: json.loads(f'"{s[len("<urn:page:") : -1]}"')[1:] if len(s) > len("<urn:page:>") else None
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     if kind == "response":
@@ -92,15 +98,17 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     Of pages with equal payloads of ``LEAST_REVISIT`` bytes or more, the smallest id is a response
     and the others revisit it (a row repeated whole with that id is a response each time; null ids
-    come last).  A null html is an empty payload, a null URL an empty one.
+    come last).  A null html is an empty payload, a null URL an empty one.  Ids may be of any type
+    that orders; texts of any length are one record each.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), reversed_url_key(F.col(url_col)).alias("key"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), reversed_url_key(F.col(url_col)).alias("key"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     first = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = materialize(first.where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first"), "payloads")
     first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
     rows = rows.join(first, F.col("digest") == F.col("d"), "left")
-    rows = rows.select("id", "url", "key", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    refers_to = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), id_text(F.col("first")))
+    rows = rows.select(id_text(F.col("id")).alias("id"), "url", "key", "html", "digest", refers_to.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
@@ -123,6 +131,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return materialize(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
+def tasks(rows: DataFrame) -> int:
+    """How many tasks share so many rows: their number counts, as the bytes behind a key are far more than its own."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return max(-(-n // PART_ROWS), min(cores, -(-n // BLOCK_LINES)), 1)
+
+
 def build_index(manifest: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
     """Writes blocks and directories and returns the parts of the index."""
 
@@ -141,7 +155,7 @@ def build_index(manifest: DataFrame, folder: str, parts: int | None = None) -> D
 
         for b in batches:
             for key, page_id, *place in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines.append([key, _NO_ID if page_id is None else page_id, *place])
+                lines.append([key, page_id, *place])
                 if len(lines) == BLOCK_LINES:
                     flush()
         if lines:
@@ -154,7 +168,7 @@ def build_index(manifest: DataFrame, folder: str, parts: int | None = None) -> D
             yield pa.RecordBatch.from_pydict({"first_key": [first[0]], "first_id": [first[1]], "blocks": [f"{folder}/{name}.cdx.z"], "directory": [f"{folder}/{name}.idx"]})
 
     order = ["key", "id"]
-    ranged = manifest.repartitionByRange(parts, *order) if parts else manifest.repartitionByRange(*order)
+    ranged = manifest.repartitionByRange(parts or tasks(manifest), *order)
     return materialize(ranged.sortWithinPartitions(*order).mapInArrow(run, PART), "parts")
 
 
@@ -162,7 +176,7 @@ class Reader:
     """Finds and reads records; holds one directory, one block and a few open files at a time."""
 
     def __init__(self, parts: list[tuple]):
-        self.parts = sorted(((k.encode(), i), blocks, directory) for k, i, blocks, directory in parts)
+        self.parts = sorted(((k.encode(), i.encode()), blocks, directory) for k, i, blocks, directory in parts)
         self.files: OrderedDict[str, object] = OrderedDict()
         self.directory: tuple[str, list] = ("", [])
         self.block: tuple[str, int, list] = ("", -1, [])
@@ -178,22 +192,22 @@ class Reader:
         f.seek(at)
         return f.read(size)
 
-    def find(self, key: str, page_id: int | None) -> Iterator[tuple[str, int, int]]:
+    def find(self, key: str, page_id: str) -> Iterator[tuple[str, int, int]]:
         """Archive, place and size of every capture of this key and id."""
-        want = (key.encode(), _NO_ID if page_id is None else page_id)
+        want = (key.encode(), page_id.encode())
         p = max(0, bisect.bisect_left(self.parts, (want,)) - 1)
         while p < len(self.parts) and self.parts[p][0] <= want:
             _, blocks, directory = self.parts[p]
             if self.directory[0] != directory:
                 system, place = _open(directory)
                 with system.open_input_stream(place, compression=None) as f:
-                    self.directory = (directory, [((k.encode(), i), at, size) for k, i, at, size in map(json.loads, f.read().decode().split("\n"))])
+                    self.directory = (directory, [((k.encode(), i.encode()), at, size) for k, i, at, size in map(json.loads, f.read().decode().split("\n"))])
             entries = self.directory[1]
             e = max(0, bisect.bisect_left(entries, (want,)) - 1)
             while e < len(entries) and entries[e][0] <= want:
                 if self.block[:2] != (blocks, e):
                     raw = zlib.decompress(self._range(blocks, *entries[e][1:])).decode()
-                    self.block = (blocks, e, [((k.encode(), i), a, at, size) for k, i, a, at, size in map(json.loads, raw.split("\n"))])
+                    self.block = (blocks, e, [((k.encode(), i.encode()), a, at, size) for k, i, a, at, size in map(json.loads, raw.split("\n"))])
                 lines = self.block[2]
                 x = bisect.bisect_left(lines, (want,))
                 while x < len(lines) and lines[x][0] == want:
@@ -207,7 +221,7 @@ class Reader:
 
 
 def read_back(wanted: DataFrame, parts: DataFrame) -> DataFrame:
-    """The records of the distinct ``key, id`` rows of ``wanted``, found through the index."""
+    """The records of the distinct ``key, id`` rows of ``wanted``, found through the index; ids come back as text."""
     found = [tuple(r) for r in parts.limit(MOST_PARTS + 1).collect()]
     if len(found) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} index parts: build it with fewer")
@@ -218,19 +232,24 @@ def read_back(wanted: DataFrame, parts: DataFrame) -> DataFrame:
         for b in batches:
             out = [reader.read(place) for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for place in reader.find(key, page_id)]
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     # Sorted requests visit each block once.
-    rows = wanted.select("key", F.col("id").cast("bigint").alias("id")).distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    rows = wanted.select("key", id_text(F.col("id")).alias("id")).distinct()
+    rows = rows.repartitionByRange(tasks(wanted), "key", "id").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
     """Archives ``pages``, indexes the archives, and returns every record as read back through the index.
 
-    One row per row of ``pages``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
-    An empty table writes nothing and returns nothing.  Other columns are not read.
+    One row per row of ``pages``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``,
+    ids of the type they had.  Of ties (repeated rows) each has a record.  Null ids, URLs and html
+    are kept as ``write`` has them; texts of any length are whole.  An empty table writes nothing and
+    returns nothing.  Other columns are not read, so their names cannot clash.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
-    parts = build_index(write(pages, folder, id_col, url_col, html_col), folder)
-    return read_back(pages.select(reversed_url_key(F.col(url_col)).alias("key"), F.col(id_col).alias("id")), parts)
+    manifest = write(pages, folder, id_col, url_col, html_col)
+    read = read_back(pages.select(reversed_url_key(F.col(url_col)).alias("key"), F.col(id_col).alias("id")), build_index(manifest, folder))
+    kind = pages.schema[id_col].dataType
+    return read.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))

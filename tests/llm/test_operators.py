@@ -552,3 +552,19 @@ def test_url_rules_that_nest_equal_brute_force(spark, monkeypatch):
         assert (r.host, r.path, r.rule, r.verdict) == (h, p, max(fit)[2] if fit else None, max(fit)[1] if fit else "block")
     assert url_filter.judge(pages, rule_rows.limit(0)).where("rule is not null or verdict <> 'allow'").count() == 0
     assert url_filter.judge(pages.limit(0), rule_rows).count() == 0
+
+
+def test_warc_of_text_ids_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    big = "<p>x</p>" * 40
+    rows = [(f"é<{i}>\n\"", f"http://h{i % 3}.org/{i % 5}", big) for i in range(90)] + [("", "http://h0.org/0", "tiny"), (None, None, big)]
+    pages = spark.createDataFrame(rows + rows[:5], "page_id string, url string, html string").selectExpr("*", "1 id", "'k' key", "2 digest", "3 first")
+    for most in (warc.MOST_BROADCAST, 0):  # repeated payloads by broadcast and by shuffle
+        monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+        got = collections.Counter(tuple(r) for r in warc.archive_and_read(pages).collect())
+        first = min(i for i, _, h in rows if i is not None and h == big)
+        want = collections.Counter()
+        for i, _, h in rows + rows[:5]:
+            again = h == big and i != first
+            want[i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first if again else None] += 1
+        assert got == want
