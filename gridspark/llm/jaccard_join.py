@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components, contract
-from .shared import materialize
+from .shared import materialize, unclashing
 
 #: Bytes of text packed into a block, of which a longer text makes one of its own.
 BLOCK_TEXT = 1 << 20
@@ -337,6 +337,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id
     )
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all columns: that of the smallest id, then the first in the table.
+
+    Rows are numbered and grouped by these numbers, so rows that share an id, or have none, are rows
+    like others; null ids come last.  Null, empty and blank texts are groups of their own, and stay.
+    No column's name can clash.
+    """
+    (row,) = unclashing("row")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = materialize(near_duplicates(docs, k, num, den, row, text_col).select(row, F.col("component_id").alias("group")), "groups")
+    # Only groups of several rows have a row that is not its own group's name.
+    several = groups.where(F.col(row) != F.col("group")).select("group").distinct()
+    members = groups.join(several, "group", "left_semi").join(docs.select(row, F.col(id_col).alias("id")), row)
+    members = materialize(members.select(row, "group", F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row")).alias("place")), "members")
+    first = members.groupBy("group").agg(F.min("place").alias("first")).select("group", F.col("first.row").alias("stays"))
+    gone = members.join(first, "group").where(F.col(row) != F.col("stays")).select(row)
+    return docs.join(gone, row, "left_anti").select(*[c for c in docs.columns if c != row])
+
+
 def _fingerprint(raw: bytes) -> bytes:
     import hashlib
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ SEED = 20240229
 #: Prototypes are sent to every worker: so many languages at most (4096 of 8 KB are 32 MB).
 MOST_LANGUAGES = 4096
 UNDETERMINED = "und"
+#: Labelled rows that the least cosines are taken from (a sample by hash of the text), and the rows that a length needs for its own.
+MOST_SAMPLED, LEAST_SAMPLED = 20_000, 200
+#: The least cosine of any text (unrelated vectors have 0.03), and what of the lowest ones of a length still counts as language.
+LEAST_COSINE, LOWEST, SLACK = 0.05, 0.001, 0.8
 #: Letter classes: a-z, other letters of Latin scripts (hashed), and letters of all other scripts (hashed).
 LATIN, CLASSES = 64, 4096
 _UNIT = float(1 << 24)
@@ -200,19 +205,53 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language is determined with a cosine of ``least`` or more, all columns kept.
+def _lengths(column: pa.Array) -> np.ndarray:
+    """The number of binary digits of each text's number of bytes."""
+    return np.frexp(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(float))[1]
+
+
+def least_cosines(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """The cosine that a text needs to be in a language at all, by the binary digits of its length.
+
+    Longer texts come nearer to their language, so what is far from all there is in none.  Of
+    labelled texts of each length the lowest ``LOWEST`` set the bound, less some slack; a length of
+    too few has that of the shorter ones.
+    """
+    names, prototypes = model
+    shared = rows.sparkSession.sparkContext.broadcast((names, prototypes))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    share = min(1.0, MOST_SAMPLED / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = classify(b.column(0), *shared.value)
+            ok = np.array([x != UNDETERMINED for x in langs], dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(_lengths(b.column(0))[ok], pa.int32()), pa.array(np.array(scores, dtype=float)[ok])], ["digits", "cosine"])
+
+    found = sample.select("text").mapInArrow(run, "digits int, cosine double").groupBy("digits").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.lit(LOWEST)).alias("low")).collect()
+    least = np.full(64, LEAST_COSINE)
+    for r in found:
+        if r.n >= LEAST_SAMPLED:
+            least[r.digits] = max(LEAST_COSINE, SLACK * r.low)
+    return np.maximum.accumulate(least)
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float | np.ndarray = LEAST_COSINE, text_col: str = "text") -> DataFrame:
+    """The rows whose language is determined with a cosine of ``least`` (by length, or one for all) or more, all columns kept.
 
     Null and empty texts and those without letters go; repeated rows go or stay together.  Columns
     are taken by place, so names do not matter.
     """
     names, prototypes = model
-    shared = docs.sparkSession.sparkContext.broadcast((names, prototypes))
+    shared = docs.sparkSession.sparkContext.broadcast((names, prototypes, np.broadcast_to(least, 64).copy()))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = classify(b.column(at), *shared.value)
-            yield b.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            names, prototypes, least = shared.value
+            langs, scores = classify(b.column(at), names, prototypes)
+            near = np.array(scores, dtype=float) >= least[_lengths(b.column(at))]
+            yield b.filter(pa.array([x != UNDETERMINED and bool(s) for x, s in zip(langs, near, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

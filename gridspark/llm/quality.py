@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import materialize
+from .shared import materialize, unclashing
 
 #: Labelled rows that the classifier is fitted on (a sample by hash of the id).
 MOST_LABELLED = 20_000
@@ -81,9 +81,11 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights and, last, an intercept that is zero evidence at the base rate of the labels.
 
-    Without labels of both kinds the evidence is zero everywhere.
+    Without labels of both kinds the evidence is zero everywhere.  An id with labels of both kinds
+    teaches nothing, nor does a null label.
     """
-    labels = labels.select(F.col(id_col), (F.col(label_col) > 0).cast("double").alias("y")).where("y is not null").dropDuplicates([id_col])
+    labels = labels.select(F.col(id_col), (F.col(label_col) > 0).cast("double").alias("y")).where("y is not null")
+    labels = labels.groupBy(id_col).agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     part = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_LABELLED / max(labels.count(), 1)))
     rows = docs.select(id_col, text_col).join(F.broadcast(labels.where(part)), id_col).select(text_col, "y")
 
@@ -178,12 +180,17 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``classify`` keeps, with all their columns; texts are never shuffled while the sites are few."""
+    """The rows that ``classify`` keeps, with all their columns; texts are never shuffled while the sites are few.
+
+    Null, empty and wordless texts have the least evidence and go.  Null hosts and paths are sites of
+    their own; repeated rows stay or go together.  No column's name can clash.
+    """
     beta = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     site = materialize(sites(_evidence_rows(rows, beta, ["host", "path"], "text"), _base(labels)), "sites")
-    site = site.select(F.col("host").alias("__host"), F.col("path").alias("__path"), _logit(F.col("path_posterior")).alias("__site"))
-    joined = docs.join(_bounded(site), F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path"))).drop("__host", "__path")
+    h, p, odds = unclashing("host", "path", "odds")
+    site = site.select(F.col("host").alias(h), F.col("path").alias(p), _logit(F.col("path_posterior")).alias(odds))
+    joined = docs.join(_bounded(site), F.col(host_col).eqNullSafe(F.col(h)) & F.col(path_col).eqNullSafe(F.col(p))).drop(h, p)
     shared, at, least = docs.sparkSession.sparkContext.broadcast(beta), docs.columns.index(text_col), float(np.log(LEAST_SCORE / (1 - LEAST_SCORE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

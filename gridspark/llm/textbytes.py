@@ -84,7 +84,7 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        up, self._down = powers(n + 1)
+        self._up, self._down = up, _ = powers(n + 1)
         codes = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(codes * up[:n], out=self._sums[1:])
@@ -93,6 +93,14 @@ class Words:
         """The hash of the lower-cased bytes from ``start`` to ``end``: equal bytes, equal hash, wherever they stand."""
         return mix((self._sums[end] - self._sums[start]) * self._down[start] + np.uint64(0x632BE59BD9B4E019))
 
+    def joined_hash(self, spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """``span_hash`` of what the spans hold, one after the other."""
+        total, size = np.zeros(len(spans[0][0]), np.uint64), np.zeros(len(spans[0][0]), np.int64)
+        for start, end in spans:
+            total += (self._sums[end] - self._sums[start]) * self._down[start] * self._up[size]
+            size += end - start
+        return mix(total + np.uint64(0x632BE59BD9B4E019))
+
     @property
     def hash(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)

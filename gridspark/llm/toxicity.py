@@ -4,6 +4,8 @@ Noisy channel: a word with digits or signs among its letters, with a letter thre
 a row becomes a lattice of what it may stand for.  So does a whole run of letters, digits and signs
 that stand alone, apart by spaces or punctuation; there a word may end after each of them.  Viterbi
 decoding under a character trigram model, counted over all documents, picks the likeliest plain form.
+Two or three neighbouring words, one separator apart, have a lattice of two paths, with the spaces
+and without; the second is taken where it is a known bad word and the likelier one.
 All other words have a lattice of one path, themselves, and are taken as they stand.
 
 Scoring: words and their beginnings that stand in toxic documents far more often than in others form
@@ -27,6 +29,8 @@ from .language_id import CLASSES, LATIN, _codes, _letter_classes
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 #: Log-probabilities of the channel for a sign read as a letter, a sign that is noise, and one or two letters for a run.
 READ, NOISE, SINGLE, DOUBLE = -0.5, -6.0, -0.2, -1.0
+#: Fixed value: log-probability of the channel for a space put into a word.
+BROKEN = -3.0
 #: Labelled rows that the lexicon is fitted on (a sample by hash of the id); bounds the lexicon and what is broadcast.
 MOST_LABELLED = 20_000
 #: A word or beginning counts when it stands behind so many different words in toxic documents.
@@ -138,6 +142,37 @@ def decode(word: str, model: np.ndarray, spelt: bool = False) -> tuple[str, floa
     return best[1], best[0]
 
 
+def likelihood(text: str, model: np.ndarray) -> float:
+    """Log-probability of a text under the character model, from a word's beginning to a word's end."""
+    a = b = 0
+    out = 0.0
+    for c in text.lower() + " ":
+        k = _class(c)
+        if k or b:
+            out, a, b = out + float(model[a, b, k]), b, k
+    return out
+
+
+def _mended(w: tb.Words, data: np.ndarray, begin: np.ndarray, end: np.ndarray, bad: np.ndarray, model: np.ndarray) -> Iterator[tuple[int, np.uint64]]:
+    """(first word, whole hash) of neighbouring words that spaces broke out of one of ``bad`` (sorted features of whole words)."""
+    row = np.repeat(np.arange(len(w.count)), w.count)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    plain = (letters[end] - letters[begin] == end - begin) & (end > begin)
+    # A word goes on in the next one if nothing but one separator stands between their letters.
+    on = np.zeros(len(row), dtype=bool)
+    on[:-1] = plain[:-1] & plain[1:] & (row[1:] == row[:-1]) & (begin[1:] - end[:-1] == 1)
+    for m in (2, 3):
+        at = np.flatnonzero(on[: len(on) - m + 1] if m == 2 else on[: len(on) - 2] & on[1 : len(on) - 1]) if len(on) >= m else np.zeros(0, np.int64)
+        if not len(at):
+            continue
+        whole = w.joined_hash([(begin[at + x], end[at + x]) for x in range(m)])
+        place = np.minimum(np.searchsorted(bad, whole ^ np.uint64(1)), len(bad) - 1)
+        for k in np.flatnonzero(bad[place] == whole ^ np.uint64(1)):
+            parts = [data[begin[at[k] + x] : end[at[k] + x]].tobytes().decode("utf-8", "ignore") for x in range(m)]
+            if likelihood("".join(parts), model) + BROKEN * (m - 1) > likelihood(" ".join(parts), model):
+                yield int(at[k]), whole[k]
+
+
 def _text(out: tuple | None) -> str:
     parts = []
     while out:
@@ -244,8 +279,11 @@ def _restored(data: np.ndarray, off: np.ndarray, model: np.ndarray, known: dict[
     return w, begin, end, replaced, out
 
 
-def _features(column: pa.Array, model: np.ndarray, known: dict[bytes, str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, words, features, words before) of the restored words; features: the word and its beginnings."""
+def _features(column: pa.Array, model: np.ndarray, known: dict[bytes, str], bad: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, words, features, words before) of the restored words; features: the word and its beginnings.
+
+    With ``bad`` features, also of words that spaces broke.
+    """
     for lo, hi, data, off in tb.chunks(column):
         w, begin, end, replaced, out = _restored(data, off, model, known)
         row = np.repeat(np.arange(hi - lo), w.count)
@@ -265,6 +303,10 @@ def _features(column: pa.Array, model: np.ndarray, known: dict[bytes, str]) -> I
             for k in _PREFIXES:
                 ok = b - a > k
                 found.append((r[ok], whole[ok], words.span_hash(a[ok], a[ok] + k), ahead[ok]))
+        mended = list(_mended(w, data, begin, end, bad, model)) if bad is not None and len(bad) else []
+        if mended:
+            at, whole = np.array([k for k, _ in mended]), np.array([x for _, x in mended], dtype=np.uint64)
+            found.append((row[at], whole, whole ^ np.uint64(1), before[at]))
         yield (lo, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -274,9 +316,11 @@ def _features(column: pa.Array, model: np.ndarray, known: dict[bytes, str]) -> I
 def learn_lexicon(docs: DataFrame, labels: DataFrame, characters: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Features (sorted), their weights and the score of a text without any.
 
-    ``labels`` beyond ``MOST_LABELLED`` rows are sampled by hash of the id; null labels teach nothing.
+    ``labels`` beyond ``MOST_LABELLED`` rows are sampled by hash of the id; null labels teach nothing,
+    nor does an id with labels of both kinds.
     """
-    labels = labels.select(F.col(id_col), (F.col(label_col) > 0).alias("toxic")).where("toxic is not null").dropDuplicates([id_col])
+    labels = labels.select(F.col(id_col), (F.col(label_col) > 0).alias("toxic")).where("toxic is not null")
+    labels = labels.groupBy(id_col).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     n = labels.count()
     part = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MOST_LABELLED / max(n, 1)))
     rows = docs.select(id_col, text_col).join(F.broadcast(labels.where(part)), id_col).select(text_col, "toxic")
@@ -319,7 +363,7 @@ def score(column: pa.Array, characters: np.ndarray, lexicon: tuple[np.ndarray, n
     out = np.full(len(column), base)
     if not len(features):
         return out
-    for lo, row, word, feature, _ in _features(column, characters, known):
+    for lo, row, word, feature, _ in _features(column, characters, known, features):
         at = np.minimum(np.searchsorted(features, feature), len(features) - 1)
         hit = np.flatnonzero(features[at] == feature)
         best: dict[tuple[int, int], float] = {}

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -568,3 +569,114 @@ def test_warc_of_text_ids_and_repeated_rows(spark, monkeypatch):
             again = h == big and i != first
             want[i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first if again else None] += 1
         assert got == want
+
+
+def test_viterbi_equals_the_best_of_all_paths(spark, docs):
+    model = toxicity.learn_characters(docs.limit(50))
+
+    def paths(word):
+        runs = [m[0] for m in re.finditer(r"(.)\1*", word)]
+        options = []
+        for run in runs:
+            n, sign = len(run), run[0] in toxicity.LEET
+            letters = toxicity.LEET.get(run[0], run[0] if run[0].isalpha() else "")
+            own = [("", toxicity.NOISE * n)] if sign or not letters else []
+            for x in letters:
+                cost = toxicity.READ * n if sign else 0.0
+                own += [(x * n, cost)] if n <= 2 else []
+                own += [(x, cost + toxicity.SINGLE), (x * 2, cost + toxicity.DOUBLE)] if n >= 2 and (sign or n >= 3) else []
+            options.append(own)
+        for chosen in itertools.product(*options):
+            a = b = 0
+            p = sum(c for _, c in chosen)
+            for x in "".join(t for t, _ in chosen):
+                k = toxicity._class(x)
+                p, a, b = p + float(model[a, b, k]), b, k
+            yield p + float(model[a, b, 0]), "".join(t for t, _ in chosen)
+
+    rnd = random.Random(13)
+    words = ["idi0t", "l00$er", "st!!!pid", "m0r0n", "x", "1", "2+2", "ñoo0"] + ["".join(rnd.choice("abestir013$!") for _ in range(rnd.randrange(1, 8))) for _ in range(60)]
+    for word in words:
+        plain, p = toxicity.decode(word, model)
+        best = max(paths(word))
+        assert np.isclose(p, best[0], atol=1e-3) and any(x == plain and np.isclose(q, best[0], atol=1e-3) for q, x in paths(word))
+
+
+DISGUISES = ("1d10t", "st00pid l0$er", "id iot", "l o s e r", "s.t.u.p.i.d", "idiiiiot", "lo ser", "stu pid", "i-d-i-o-t", "id i ot")
+
+
+def test_recall_of_disguises_comes_from_the_decoder(insults, monkeypatch):
+    texts = [f"the old river {x} reads paper" for x in DISGUISES if x != "st00pid l0$er"] + ["the l0$er reads"]
+    assert min(insults(texts).values()) >= 0.3
+    monkeypatch.setattr(toxicity, "decode", lambda word, model, spelt=False: (" ".join(word) if spelt else word, 0.0))  # all as it stands
+    monkeypatch.setattr(toxicity, "_mended", lambda *a: iter(()))
+    assert sum(v >= 0.3 for v in insults(texts).values()) <= 1
+    monkeypatch.undo()
+    plain = ["my id is old", "an id of iota", "the lost era", "low service", "stuck pidgin"]
+    assert max(insults(plain).values()) < 0.3
+
+
+def test_labels_that_contradict_each_other_teach_nothing(spark):
+    d = spark.createDataFrame([(i, ("good words here " if i % 2 else "#$% @@@ ### ") * 5) for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(30)]
+    both = [(i, 1 - i % 2) for i in range(10)]
+    of = lambda rows: quality.fit(d, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert np.allclose(of(labels + both), of(labels[10:])) and np.allclose(of(both + labels), of(labels[10:]))
+
+
+def test_quality_equals_brute_force(spark):
+    """Site posteriors and scores recomputed in plain Python from the evidence."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.classify(spark.read.parquet(f"{SF}/documents.parquet"), labels).collect()
+    own = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    y = [r.quality for r in labels.collect() if r.quality is not None]
+    base = np.log((sum(v > 0 for v in y) + 1) / (sum(v <= 0 for v in y) + 1))
+    p = {r.doc_id: 1 / (1 + np.exp(-(r.evidence + base))) for r in rows}
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for i, v in p.items():
+        paths[own[i].source, own[i].lang].append(v)
+        hosts[own[i].source].append(v)
+
+    def pseudo(groups, parent, lost):
+        n = np.array([len(g) for g in groups.values()], dtype=float)
+        m = np.array([parent(k) for k in groups])
+        got = np.array([np.mean(g) for g in groups.values()])
+        if len(n) <= lost or n.sum() <= (n**2).sum() / n.sum():
+            return quality.MOST_PRIOR
+        v = (n * m * (1 - m)).sum() / n.sum()
+        between = ((n * (got - m) ** 2).sum() - (len(n) - lost) * v) / (n.sum() - (n**2).sum() / n.sum())
+        return quality.MOST_PRIOR if between <= 0 else float(np.clip(v / between - 1, quality.LEAST_PRIOR, quality.MOST_PRIOR))
+
+    mean = np.mean(list(p.values()))
+    k = pseudo(hosts, lambda h: mean, 1)
+    post = {h: (k * mean + sum(g)) / (k + len(g)) for h, g in hosts.items()}
+    k2 = pseudo({x: g for x, g in paths.items() if len(hosts[x[0]]) > len(g)}, lambda x: np.mean(hosts[x[0]]), len(hosts))
+    for r in rows:
+        g, h = paths[own[r.doc_id].source, own[r.doc_id].lang], post[own[r.doc_id].source]
+        want = (k2 * h + sum(g)) / (k2 + len(g))
+        assert np.isclose(r.host_posterior, h) and np.isclose(r.path_posterior, want)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-(r.evidence + np.log(want / (1 - want)))))) and r.keep == (r.score >= 0.5)
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, base, "a"), (3, base, "b"), (3, base, "b"), (None, base, "c"), (None, "other words that stand alone in this small table here", "d"), (None, "other words that stand alone in this small table here", "e"), (9, None, "f"), (9, None, "f"), (10, "", "g"), (11, "x", "h"), (11, "y", "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "1 `group`", "2 id", "3 stays", "4 place")
+    got = jaccard_join.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text, r.row) for r in got.collect()), key=repr) == sorted([(3, base, "b"), (None, rows[4][1], "d"), (9, None, "f"), (9, None, "f"), (10, "", "g"), (11, "x", "h"), (11, "y", "h")], key=repr)
+    assert jaccard_join.keep_one(d.limit(0)).count() == 0
+
+
+def test_gibberish_and_unknown_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs)
+    least = language_id.least_cosines(docs, model)
+    rnd = random.Random(14)
+    gibberish = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(3000)) for _ in range(5)]
+    code = "for (int i = 0; i < n; i++) { buf[i] = fgetc(fp); if (x == NULL) return -1; } while (ptr->next) ptr = ptr->next; " * 10
+    greek = "Ελληνικά γράμματα και λέξεις που δεν έχει κανένα κείμενο " * 20
+    rows = list(enumerate([*gibberish, code, greek, None, "", "123"])) + [(100, "A."), (101, "Avec."), (102, "All rights reserved.")]
+    kept = {r.doc_id for r in language_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), model, least).collect()}
+    assert kept == {100, 101, 102}
+    assert language_id.keep_identified(docs, model, least).count() >= 0.995 * docs.where("text rlike '[a-zA-Z]'").count()
