@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-from dataclasses import dataclass
+import struct
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,10 @@ class Domain:
     def __getitem__(self, i: int):
         return (self.min, self.max)[i]
 
+    def with_item(self, i: int, value) -> Domain:
+        """The interval with another lower (0) or upper (1) end, checked anew."""
+        return replace(self, bnds=(value, self.max) if i == 0 else (self.min, value))
+
     def slices(self) -> list[tuple]:
         if self.periodic and self.max < self.min:
             return [(self.min, self.valid_range[1]), (self.valid_range[0], self.max)]
@@ -54,14 +60,28 @@ class Domain:
         return {f"{self.name}{a}": self.min, f"{self.name}{b}": self.max}
 
 
+def as_time(value, upper: bool = False):
+    """A time given as text: a year, month, day or more.  As an upper end a year, month or day reaches to its last moment."""
+    if not isinstance(value, str):
+        return value
+    for form, n in (("%Y", 4), ("%Y-%m", 7), ("%Y-%m-%d", 10)):
+        if len(value) == n:
+            first = dt.datetime.strptime(value, form)
+            if not upper:
+                return first
+            after = first.replace(year=first.year + 1) if n == 4 else (first.replace(day=28) + dt.timedelta(days=4)).replace(day=1) if n == 7 else first + dt.timedelta(days=1)
+            return after - dt.timedelta(microseconds=1)
+    return dt.datetime.fromisoformat(value)
+
+
 @register("bounds.bbox")
 class Bounds:
-    """A longitude-latitude-time box; what is not given does not bound."""
+    """A longitude-latitude-time box; what is not given does not bound.  Times may be text."""
 
     def __init__(self, lon_bnds=None, lat_bnds=None, time_bnds=None) -> None:
         self.lon = Domain("lon", lon_bnds, periodic=True, valid_range=(-180.0, 180.0))
         self.lat = Domain("lat", lat_bnds, valid_range=(-90.0, 90.0))
-        self.time = Domain("time", tuple(time_bnds)) if time_bnds else None
+        self.time = Domain("time", (as_time(time_bnds[0]), as_time(time_bnds[1], upper=True))) if time_bnds else None
 
     def to_dict(self) -> dict:
         return self.lon.to_dict() | self.lat.to_dict() | (self.time.to_dict() if self.time else {})
@@ -81,11 +101,17 @@ class PolygonBounds(Bounds):
         super().__init__((r[0], r[1]), (r[2], r[3]))
 
     @classmethod
-    def from_geojson(cls, spark: SparkSession, path: str, names: list[str] | None = None, field: str = "NAME", fmt: str | None = None) -> PolygonBounds:
-        if (fmt or path.rsplit(".", 1)[-1]) not in ("json", "geojson"):
-            raise ValueError("only GeoJSON boundaries can be read; shapefiles need a reader that is not installed")
-        text = spark.read.option("wholetext", True).text(path).first()[0]
-        return cls(edges_of(spark, json.loads(text), names, field))
+    def load(cls, spark: SparkSession, path: str, names: list[str] | None = None, field: str = "NAME", fmt: str | None = None) -> PolygonBounds:
+        """Boundaries of a GeoJSON file or a shapefile (with its table of attributes beside it), of any file system Spark reads."""
+        fmt = fmt or path.rsplit(".", 1)[-1].lower()
+        if fmt in ("json", "geojson"):
+            return cls(geojson_edges(spark, path, names, field))
+        if fmt == "shp":
+            read = lambda p: bytes(spark.read.format("binaryFile").load(p).select("content").first()[0])
+            return cls(edges_of(spark, shapes(read(path), read(path[: -len("shp")] + "dbf")), names, field))
+        raise ValueError(f"boundaries of format {fmt!r} cannot be read")
+
+    from_geojson = load
 
     def vertices(self) -> DataFrame:
         return self.edges.select("poly", "ring", F.col("x1").alias("x"), F.col("y1").alias("y"))
@@ -104,6 +130,52 @@ class PolygonBounds(Bounds):
         return hit.groupBy("x", "y", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("x", "y").distinct()
 
 
+def geojson_edges(spark: SparkSession, path: str, names: list[str] | None = None, field: str = "NAME") -> DataFrame:
+    """The edges of a GeoJSON file, taken apart by tasks: one row a feature, then a ring, then an edge."""
+    features = "array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    rows = spark.read.schema(f"features {features}").option("multiLine", True).json(path).select(F.posexplode("features").alias("k", "f"))
+    if names:
+        rows = rows.where(F.element_at("f.properties", F.lit(field)).isin(list(names)))
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))).otherwise(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
+    rows = rows.select(F.coalesce(F.element_at("f.properties", F.lit(field)), F.col("k").cast("string")).alias("id"), F.posexplode(parts).alias("p", "rings"))
+    rows = rows.select(F.concat_ws("/", "id", "p").alias("poly"), F.posexplode("rings").alias("ring", "points"))
+    closed = F.when(F.element_at("points", 1) == F.element_at("points", -1), F.col("points")).otherwise(F.concat("points", F.slice("points", 1, 1)))
+    pairs = F.arrays_zip(F.slice(F.col("points"), 1, F.size("points") - 1).alias("a"), F.slice(F.col("points"), 2, F.size("points") - 1).alias("b"))
+    rows = rows.withColumn("points", closed).select("poly", "ring", F.explode(pairs).alias("e"))
+    return rows.select("poly", "ring", *[F.element_at(f"e.{v}", i).alias(f"{c}{k}") for k, v in ((1, "a"), (2, "b")) for i, c in ((1, "x"), (2, "y"))])
+
+
+def shapes(shp: bytes, dbf: bytes) -> dict:
+    """The polygons of a shapefile with their attributes, as GeoJSON features."""
+    n, head, size = struct.unpack_from("<IHH", dbf, 4)
+    columns, at = [], 32
+    while dbf[at] != 0x0D:
+        columns.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
+        at += 32
+    tables = []
+    for k in range(n):
+        place, row = head + k * size + 1, {}
+        for name, width in columns:
+            row[name] = dbf[place : place + width].decode("utf-8", "replace").strip()
+            place += width
+        tables.append(row)
+    features, at = [], 100
+    while at + 8 <= len(shp):
+        words = struct.unpack_from(">I", shp, at + 4)[0]
+        kind = struct.unpack_from("<I", shp, at + 8)[0]
+        rings: list[list] = []
+        if kind in (5, 15, 25):
+            parts, points = struct.unpack_from("<II", shp, at + 44)
+            starts = [*struct.unpack_from(f"<{parts}I", shp, at + 52), points]
+            xy = struct.unpack_from(f"<{2 * points}d", shp, at + 52 + 4 * parts)
+            rings = [[[xy[2 * i], xy[2 * i + 1]] for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
+        elif kind:
+            raise ValueError(f"shapes of type {kind} are no polygons")
+        features.append({"properties": tables[len(features)] if len(features) < len(tables) else {}, "geometry": {"type": "Polygon", "coordinates": rings}})
+        at += 8 + 2 * words
+    return {"type": "FeatureCollection", "features": features}
+
+
 def edges_of(spark: SparkSession, geojson: dict, names: list[str] | None = None, field: str = "NAME") -> DataFrame:
     """The edges of the features whose ``field`` is among ``names`` (all without names)."""
     rows = []

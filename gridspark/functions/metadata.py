@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import registry
+from ..tables import listing
 
 #: Fields of the known naming schemes.
 CORDEX = ("variable", "domain", "driving_model", "experiment", "ensemble", "model", "version", "time_step", "time")
@@ -22,9 +23,10 @@ def basename(path: Column) -> Column:
 
 
 def obs4mips_name(path: Column) -> Column:
-    """Known irregular names brought to the scheme: field separators, and both dates of CALIPSO joined."""
-    name = basename(path)
-    name = F.replace(F.replace(name, F.lit("_obs4MIPs_"), F.lit("_")), F.lit("TRMM-L3"), F.lit("TRMM_L3"))
+    """Known irregular names brought to the scheme: field separators, both dates of CALIPSO joined, and a version for AVISO."""
+    name = F.replace(F.replace(basename(path), F.lit("_obs4MIPs_"), F.lit("_")), F.lit("TRMM-L3"), F.lit("TRMM_L3"))
+    # Of AVISO names the first three fields and the last are sure; the version between is v1.
+    name = F.when(F.contains(name, F.lit("AVISO")), F.regexp_replace(name, r"^([^_]*_[^_]*_[^_]*)_(?:.*_)?([^_]*)$", "$1_v1_$2")).otherwise(name)
     return F.when(F.contains(F.lower(name), F.lit("calipso")), F.regexp_replace(name, r"_(\d+)_(\d+)(\.nc)$", "_$1-$2$3")).otherwise(name)
 
 
@@ -38,6 +40,39 @@ class Extractor:
     index: tuple[int, ...] | None = None
     filter_filename: Callable[[Column], Column] = basename
     ignored: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    paths: tuple[str, ...] = ()
+
+    def at(self, *paths: str) -> Extractor:
+        """The extractor of these folders or patterns."""
+        return replace(self, paths=paths)
+
+    def files(self, spark: SparkSession) -> DataFrame:
+        """``filename`` of the files found: of a folder those with the extension, else those that the pattern names."""
+        found = []
+        for path in self.paths or ("./*" + self.ext,):
+            inside = listing(spark, path.rstrip("/") + "/*" + self.ext)
+            found += inside or listing(spark, path)
+        return spark.createDataFrame([(f,) for f in sorted({*found})], "filename string")
+
+    def data(self, spark: SparkSession) -> DataFrame:
+        return self.extract(self.files(spark))
+
+    @property
+    def naming(self) -> str:
+        """The field that names datasets."""
+        return self.name_field or self.fields[0]
+
+    def names(self, data: DataFrame) -> DataFrame:
+        return self.get_field(data, self.naming)
+
+    def variables(self, data: DataFrame) -> DataFrame:
+        return self.get_field(data, "variable")
+
+    def models(self, data: DataFrame) -> DataFrame:
+        return self.get_field(data, "model")
+
+    def instruments(self, data: DataFrame) -> DataFrame:
+        return self.get_field(data, "instrument")
 
     def place(self, name: str) -> int:
         if name not in self.fields:
@@ -92,7 +127,16 @@ def build_extractor(name: str, template: str, split_by: str = "time", name_field
     sep = between[0].strip("*")[:1] or "_"
     tail = parts[-1][0] if parts[-1][1] is None else ""
     ext = tail if tail.startswith(".") else ".nc"
-    out = Extractor(fields, sep, ext, split_by, name_field, tuple(index) if index else None, **kw)
+    return build_extractor_from_params(name, list(fields), sep, ext, split_by, name_field, index, **kw)
+
+
+def build_extractor_from_params(
+    name: str, fields: list[str], sep: str | None = None, ext: str | None = None, split_by: str | None = None, name_field: str | None = None,
+    index: list[int] | None = None, filter_filename: Callable[[Column], Column] | None = None, **ignored: list[str],
+) -> Extractor:
+    """An extractor of these fields, registered as ``metadata.<name>``; ``ignored``: what is cut out of a field's values."""
+    hook = (lambda path: filter_filename(basename(path))) if filter_filename else basename
+    out = Extractor(tuple(fields), sep or "_", ext or ".nc", split_by or "time", name_field or fields[0], tuple(index) if index else None, hook, {k: (v,) if isinstance(v, str) else tuple(v) for k, v in ignored.items()})
     registry[f"metadata.{name}"] = out
     return out
 

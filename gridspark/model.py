@@ -8,27 +8,58 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .axes import axis, known
 from .bounds import Bounds
 from .operators import regrid as rg
 from .operators import spatial, timeops
+from .registry import registry
 
 
 class Ensemble:
     """Datasets as rows ``name, time, x, y, value`` and a ``bundle`` label; ``names`` keeps their order.
 
-    Nothing is computed before an action.  Operations return new ensembles.
+    Operations return new ensembles and leave the cells alone until an action.  What they must know
+    beforehand (ranges, grids, years, weights) comes from ``axes``, a small table of each dataset's
+    places and times, which one pass over the cells makes when it is first asked for and which later
+    operations carry along: subsets, seasons, bins and grids of the axes give those of the result.
     """
 
-    def __init__(self, cells: DataFrame, names: list[str]) -> None:
+    def __init__(self, cells: DataFrame, names: list[str], axes: DataFrame | None = None, adapter: str | None = None) -> None:
+        if adapter:
+            cells = registry["adapter"][adapter]()(cells)
+        # Bundle of each name as far as operations have set one; not known of cells that bring their own.
+        self._bundles: dict[str, str] | None = None if "bundle" in cells.columns else {}
         self.cells = cells if "bundle" in cells.columns else cells.withColumn("bundle", F.lit(None).cast("string"))
-        self._names = list(names)
+        self._names, self._axes = list(names), axes
 
-    def _with(self, cells: DataFrame, names: list[str] | None = None) -> Ensemble:
-        return Ensemble(cells, self._names if names is None else names)
+    def _with(self, cells: DataFrame, names: list[str] | None = None, axes: DataFrame | None = None) -> Ensemble:
+        return Ensemble(cells, self._names if names is None else names, axes)
 
-    def _keep_bundle(self, f: Callable[[DataFrame], DataFrame]) -> Ensemble:
-        bundles = self.cells.select("name", "bundle").distinct()
-        return self._with(f(self.cells.drop("bundle")).join(F.broadcast(bundles), "name"))
+    @property
+    def bundles(self) -> dict[str, str]:
+        """The bundle of each name that has one."""
+        if self._bundles is None:
+            found = self.cells.where("bundle is not null").select("name", "bundle").distinct().collect()  # a row a dataset
+            self._bundles = {r["name"]: r.bundle for r in found}
+        return self._bundles
+
+    def _keep_bundle(self, f: Callable[[DataFrame], DataFrame], axes: DataFrame | None) -> Ensemble:
+        """A step that regroups cells; the bundle of each dataset is put back from its label."""
+        label = F.lit(None).cast("string")
+        for name, bundle in self.bundles.items():
+            label = F.when(F.col("name") == name, bundle).otherwise(label)
+        return self._carry(self._with(f(self.cells.drop("bundle")).withColumn("bundle", label), axes=axes))
+
+    def _carry(self, out: Ensemble, bundles: dict[str, str] | None = None) -> Ensemble:
+        out._bundles = self._bundles if bundles is None else bundles
+        return out
+
+    @property
+    def axes(self) -> DataFrame:
+        """``name, axis, at, time``, computed once."""
+        if self._axes is None:
+            self._axes = known(self.cells, None)
+        return self._axes
 
     @property
     def names(self) -> list[str]:
@@ -47,8 +78,16 @@ class Ensemble:
         name = self._names[key] if isinstance(key, int) else key
         return self.cells.where(F.col("name") == name)
 
-    def assign(self, cells: DataFrame, names: list[str]) -> Ensemble:
-        return Ensemble(cells, names)
+    def assign(self, cells: DataFrame, names: list[str] | None = None) -> Ensemble:
+        """Datasets of ``names`` take the place of those of the same name, or follow at the end; without names, all are replaced."""
+        if names is None:
+            return self._with(cells)
+        kept = [n for n in self._names if n not in names]
+        if not kept:
+            return Ensemble(cells, names)
+        new = Ensemble(cells, names).cells
+        order = [*self._names, *[n for n in names if n not in self._names]]
+        return Ensemble(self.cells.where(F.col("name").isin(kept)).unionByName(new), order)
 
     def apply(self, f: Callable[..., DataFrame], *args, **kw) -> Ensemble:
         return self._with(f(self.cells, *args, **kw))
@@ -67,38 +106,84 @@ class Ensemble:
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Ensemble:
         return self._with(self.cells.persist(level))
 
-    def subset(self, domain: Bounds | None = None) -> Ensemble:
-        return self._with(spatial.subset(self.cells, domain or spatial.overlap_bounds(self.cells)))
+    def adapt(self) -> Ensemble:
+        """Longitudes of all datasets in -180..180."""
+        tops = {r["name"] for r in axis(self.axes, "x").groupBy("name").agg(F.max("x").alias("x")).where("x >= 180").collect()}
+        turn = lambda c: F.when(F.col("name").isin(list(tops)) & (F.col(c) >= 180), F.col(c) - 360).otherwise(F.col(c))
+        axes = self.axes.withColumn("at", F.when(F.col("axis") == "x", turn("at")).otherwise(F.col("at")))
+        return self._carry(self._with(self.cells.withColumn("x", turn("x")), axes=axes))
 
-    def normalize_times(self, frequency: str = "monthly", mode: str = "intended") -> Ensemble:
-        return self._with(timeops.normalize_times(self.cells, frequency, mode))
+    def subset(self, domain: Bounds | None = None) -> Ensemble:
+        domain = domain or spatial.overlap_bounds(self.cells, self.axes)
+        axes = None
+        if type(domain) is Bounds and self._axes is not None:
+            at, is_ = F.col("at"), lambda a: F.col("axis") == a
+            inside = (is_("x") & domain.lon.contains(at)) | (is_("y") & domain.lat.contains(at))
+            when = is_("time") & spatial.time_predicate(domain.time.min, domain.time.max) if domain.time else is_("time")
+            axes = self._axes.where(inside | when)
+        return self._carry(self._with(spatial.subset(self.cells, domain), axes=axes))
+
+    def _times(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        """The axes with other times."""
+        if self._axes is None:
+            return None
+        kind = self._axes.schema["time"].dataType
+        times = f(axis(self._axes, "time")).select("name", F.lit("time").alias("axis"), F.lit(None).cast("double").alias("at"), F.col("time").cast(kind).alias("time"))
+        return self._axes.where("axis <> 'time'").union(times.distinct())
+
+    def normalize_times(self, frequency: str | None = None, mode: str = "intended") -> Ensemble:
+        axes = self.axes if not frequency and mode == "intended" else None
+        return self._carry(self._with(timeops.normalize_times(self.cells, frequency, mode, axes), axes=self._times(lambda t: timeops.normalize_times(t, frequency, mode, axes))))
 
     def select_season(self, season=None, mode: str = "intended") -> Ensemble:
-        return self._with(timeops.select_season(self.cells, season, mode))
-
-    def resample(self, freq: str, gaps: bool = True) -> Ensemble:
-        return self._keep_bundle(lambda c: timeops.resample(c, freq, gaps))
-
-    def regrid(self, target: DataFrame | str | None = None, method: str = "linear") -> Ensemble:
+        if not season:
+            return self
+        return self._carry(self._with(timeops.select_season(self.cells, season, mode, self.axes), axes=self._times(lambda t: timeops.select_season(t, season, mode, self.axes))))
+
+    def resample(self, freq: str | None = None, gaps: bool = True, reference: str | None = None, how=F.avg) -> Ensemble:
+        """Means at a frequency, by default that of ``reference`` or the first dataset; datasets that have it pass unchanged."""
+        found = {r["name"]: r.freq for r in timeops.infer_frequency(self.cells, self.axes).collect()}
+        freq = freq or found[reference or self._names[0]]
+        n, unit = timeops.parse_frequency(freq)
+        same = [name for name, f in found.items() if f != "unknown" and timeops.parse_frequency(f) == (n, unit)]
+        rest = ~F.col("name").isin(same)
+        if len(same) == len(found):
+            return self
+
+        def f(cells: DataFrame) -> DataFrame:
+            out = timeops.resample(cells.where(rest), freq, gaps, how, self.axes.where(rest))
+            return out.unionByName(cells.where(~rest).select(*out.columns)) if same else out
+
+        def bins(t: DataFrame) -> DataFrame:
+            return timeops.binned(t.where(rest), t.where(rest), n, unit).select("name", F.col("time").cast(t.schema["time"].dataType).alias("time")).union(t.where(~rest))
+
+        return self._keep_bundle(f, None if gaps else self._times(bins))
+
+    def regrid(self, target: DataFrame | str | None = None, method: str | None = None, backend: str | None = None, clean: bool = False, **options) -> Ensemble:
+        """On ``target(x, y)``, the grid of a dataset, or that of the first."""
         if target is None or isinstance(target, str):
-            target = self[target or 0].select("x", "y").distinct()
-        return self._keep_bundle(lambda c: rg.regrid(c, target, method))
+            own = self.axes.where(F.col("name") == (target or self._names[0]))
+            target = axis(own, "y").select("y", F.explode(own.where("axis = 'x'").select(F.collect_list("at")).scalar()).alias("x")).select("x", "y")
+        return self._keep_bundle(lambda c: rg.regrid(c, target, method, backend, self.axes, clean, **options), None)
 
-    def homogenize(self, freq: str | None = None, domain: Bounds | None = None, season=None, target=None, method: str = "linear", frequency: str = "monthly") -> Ensemble:
+    def homogenize(self, freq: str | None = None, domain: Bounds | None = None, season=None, target=None, method: str | None = None, backend: str | None = None, frequency: str | None = None) -> Ensemble:
         """Normalised times, a common box, a season, a frequency and a grid, in this order."""
+        self.axes  # noqa: B018 (one pass, which all steps share)
         e = self.normalize_times(frequency).subset(domain).select_season(season)
-        return (e.resample(freq, gaps=False) if freq else e).regrid(target, method)
+        return (e.resample(freq, gaps=False) if freq else e).regrid(target, method, backend)
 
     def bundle(self, name: str | None = None, **names: list[str]) -> Ensemble:
         groups = {name: self._names} if name else names
         label = F.col("bundle")
         for new, members in groups.items():
             label = F.when(F.col("name").isin(list(members)), new).otherwise(label)
-        return self._with(self.cells.withColumn("bundle", label))
+        own = {m: new for new, members in groups.items() for m in members}
+        return self._carry(self._with(self.cells.withColumn("bundle", label), axes=self._axes), {**self.bundles, **own})
 
     def unbundle(self, *names: str) -> Ensemble:
         gone = F.col("bundle").isin(list(names)) if names else F.lit(True)
-        return self._with(self.cells.withColumn("bundle", F.when(gone, None).otherwise(F.col("bundle"))))
+        out = self._with(self.cells.withColumn("bundle", F.when(gone, None).otherwise(F.col("bundle"))), axes=self._axes)
+        return self._carry(out, {m: b for m, b in self.bundles.items() if names and b not in names})
 
     def add_mean(self, bundle: str, label: str = "ENS") -> Ensemble:
         if label in self._names:
@@ -115,8 +200,8 @@ class Ensemble:
         cells = self.cells if along_labels else self.cells.where(~F.col("name").isin(list(labels)))
         out = cells
         for k, label in enumerate(labels):
-            out = out.join(self[label].select(*keys, F.col("value").alias(f"__{k}")), keys, "left")
-        out = out.withColumn("value", metric(F.col("value"), *[F.col(f"__{k}") for k in range(len(labels))])).select(*self.cells.columns)
+            out = out.join(self[label].select(*keys, F.struct("value").alias(f"label{k}")), keys, "left")
+        out = out.withColumn("value", metric(F.col("value"), *[F.col(f"label{k}.value") for k in range(len(labels))])).select(*self.cells.columns)
         return self._with(out if along_labels else out.unionByName(self.cells.where(F.col("name").isin(list(labels)))))
 
     def size(self) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Space: subsets, overlap, homogeneity, adapters of coordinates."""
+"""Space: subsets, overlap, homogeneity, places on axes."""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..axes import axis, known
 from ..bounds import Bounds, PolygonBounds
+from ..tables import small
 
 
 def time_predicate(lo, hi, mode: str = "intended") -> Column:
@@ -18,23 +22,33 @@ def time_predicate(lo, hi, mode: str = "intended") -> Column:
 def subset(cells: DataFrame, domain: Bounds, mode: str = "intended") -> DataFrame:
     """Cells in a box, or under a polygon: then what is outside is null, and rows and columns all outside are cut."""
     if isinstance(domain, PolygonBounds):
-        inside = domain.inside(cells, "parity" if mode == "intended" else "literal")
-        xs, ys = inside.select("x").distinct(), inside.select("y").distinct()
-        cells = cells.join(F.broadcast(xs), "x", "left_semi").join(F.broadcast(ys), "y", "left_semi")
-        marked = cells.join(F.broadcast(inside.withColumn("__in", F.lit(True))), ["x", "y"], "left")
-        return marked.withColumn("value", F.when(F.col("__in"), F.col("value"))).drop("__in")
+        # One pass for the grid; which of it is inside is computed once.
+        grid = small(cells.select("x", "y").distinct(), "grid")
+        inside = small(domain.inside(grid, "parity" if mode == "intended" else "literal"), "inside")
+        kept = grid.join(inside.select("x").distinct(), "x", "left_semi").join(inside.select("y").distinct(), "y", "left_semi")
+        mask = small(kept.join(inside.withColumn("in", F.lit(True)), ["x", "y"], "left").select("x", "y", F.struct("in").alias("mask")), "mask")
+        return cells.join(mask, ["x", "y"]).withColumn("value", F.when(F.col("mask.in"), F.col("value"))).select(*cells.columns)
     out = cells.where(domain.contains())
     return out.where(time_predicate(domain.time.min, domain.time.max, mode)) if domain.time else out
 
 
-def overlap(cells: DataFrame) -> DataFrame:
+def ranges(axes: DataFrame) -> DataFrame:
+    """``name`` and the least and largest of time, x and y."""
+    at = lambda a: F.when(F.col("axis") == a, F.col("at")) if a != "time" else F.col("time")
+    return axes.groupBy("name").agg(*[f(at(c)).alias(f"{c}_{n}") for c in ("time", "x", "y") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def overlap(cells: DataFrame, axes: DataFrame | None = None) -> DataFrame:
     """One row: the largest minimum and the smallest maximum of time, lon and lat over datasets."""
-    each = cells.groupBy("name").agg(*[f(c).alias(f"{c}_{n}") for c in ("time", "x", "y") for n, f in (("min", F.min), ("max", F.max))])
+    if axes is not None:
+        each = ranges(axes)
+    else:
+        each = cells.groupBy("name").agg(*[f(c).alias(f"{c}_{n}") for c in ("time", "x", "y") for n, f in (("min", F.min), ("max", F.max))])
     return each.agg(*[f(f"{c}_{n}").alias(f"{a}_{n}") for c, a in (("time", "time"), ("x", "lon"), ("y", "lat")) for n, f in (("min", F.max), ("max", F.min))])
 
 
-def overlap_bounds(cells: DataFrame) -> Bounds:
-    r = overlap(cells).first()
+def overlap_bounds(cells: DataFrame, axes: DataFrame | None = None) -> Bounds:
+    r = overlap(cells, axes).first()
     if r is None or r.lon_min is None or r.lon_min > r.lon_max or r.lat_min > r.lat_max or r.time_min > r.time_max:
         raise ValueError("the datasets do not overlap")
     return Bounds((r.lon_min, r.lon_max), (r.lat_min, r.lat_max), (r.time_min, r.time_max))
@@ -46,11 +60,11 @@ def homogeneous(cells: DataFrame) -> DataFrame:
     return prints.agg((F.count_distinct("time", "x", "y") <= 1).alias("homogeneous"))
 
 
-def shift_longitude(cells: DataFrame) -> DataFrame:
+def shift_longitude(cells: DataFrame, axes: DataFrame | None = None) -> DataFrame:
     """0..360 to -180..180, for datasets that reach 180 or more."""
-    top = cells.groupBy("name").agg(F.max("x").alias("__top"))
-    shifted = F.when((F.col("__top") >= 180) & (F.col("x") >= 180), F.col("x") - 360).otherwise(F.col("x"))
-    return cells.join(F.broadcast(top), "name").withColumn("x", shifted).drop("__top")
+    top = small(axis(known(cells, axes), "x").groupBy("name").agg(F.struct(F.max("x").alias("x")).alias("top")), "tops")
+    shifted = F.when((F.col("top.x") >= 180) & (F.col("x") >= 180), F.col("x") - 360).otherwise(F.col("x"))
+    return cells.join(top, "name").withColumn("x", shifted).select(*cells.columns)
 
 
 def index_axes(cells: DataFrame) -> DataFrame:
@@ -60,14 +74,18 @@ def index_axes(cells: DataFrame) -> DataFrame:
     return grid.withColumns({"xi": rank("x"), "yi": rank("y")})
 
 
-#: Names by which axes are known.
-SYNONYMS = {"x": ("x", "lon", "longitude", "rlon", "nlon"), "y": ("y", "lat", "latitude", "rlat", "nlat"), "time": ("time", "t", "date"), "lev": ("lev", "z", "level", "height", "plev")}
+def axis_order(places: DataFrame, c: str = "x", index: str = "xi") -> DataFrame:
+    """``name, axis, order`` of an axis as it is stored (``name, index, c``): ascending, descending or mixed."""
+    step = F.col(c) - F.lag(c).over(Window.partitionBy("name").orderBy(index))
+    each = places.select("name", index, c).distinct().withColumn("step", step).groupBy("name").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
+    return each.select("name", F.lit(c).alias("axis"), F.when(F.col("hi") < 0, "descending").when(F.col("lo") < 0, "mixed").otherwise("ascending").alias("order"))
 
 
-def rename_axes(df: DataFrame, **labels: str) -> DataFrame:
-    """Axis columns by their canonical names; ``labels`` names columns that the synonyms do not know."""
-    given = {column: axis for axis, column in labels.items()}
-    renamed = {c: axis for c in df.columns if (axis := given.get(c) or next((a for a, names in SYNONYMS.items() if c.lower() in names and a not in labels), None))}
-    if len({*renamed.values()}) < len(renamed):
-        raise ValueError(f"more than one column for an axis: {renamed}")
-    return df.withColumnsRenamed(renamed)
+def reverse_axis(cells: DataFrame, c: str = "x", index: str = "xi") -> DataFrame:
+    """Cells whose stored places on a descending axis are turned round; a mixed axis stays, with a warning."""
+    places = cells.select("name", index, c).distinct()
+    order = small(axis_order(places, c, index).join(places.groupBy("name").agg(F.max(index).alias("last")), "name").select("name", F.struct("order", "last").alias("axis")), "orders")
+    if mixed := [r["name"] for r in order.where("axis.order = 'mixed'").collect()]:
+        warnings.warn(f"axis {c} of {', '.join(mixed)} neither rises nor falls", stacklevel=2)
+    turned = F.when(F.col("axis.order") == "descending", F.col("axis.last") - F.col(index)).otherwise(F.col(index))
+    return cells.join(order, "name").withColumn(index, turned.cast(cells.schema[index].dataType)).select(*cells.columns)

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..axes import axis, known
+from ..tables import materialize, small
+
 _YEAR = "JFMAMJJASOND"
 #: Frequency aliases.
 ALIASES = {"Y": "YE", "A": "YE", "YE": "YE", "YS": "YS", "AS": "YS", "Q": "QE", "QE": "QE", "QS": "QS", "M": "ME", "ME": "ME", "MS": "MS", "W": "W", "D": "D", "H": "h", "h": "h", "T": "min", "min": "min", "S": "s", "s": "s"}
 _UNITS = {"D": 86400, "h": 3600, "min": 60, "s": 1}
 
 
+def _floor(part: str, t: Column) -> Column:
+    """The first midnight of a day, week, month, quarter or year; by dates, so no time zone has a say."""
+    day = t.cast("date")
+    return (day if part == "DAY" else F.trunc(day, part)).cast("timestamp_ntz")
+
+
 def parse_frequency(freq: str) -> tuple[int, str]:
     m = re.fullmatch(r"(\d*)([A-Za-z]+)(?:-[A-Z]+)?", freq)
     if not m or m[2] not in ALIASES:
@@ -24,22 +35,32 @@ def season_months(season: str | tuple[int, int]) -> tuple[int, int]:
     """First and last month of a season given by initials or as a pair."""
     if not isinstance(season, str):
         return tuple(season)
-    for shift in range(12):
-        at = (_YEAR[shift:] + _YEAR[:shift]).find(season)
-        if season and at >= 0:
-            first = (shift + at) % 12
-            return first + 1, (first + len(season) - 1) % 12 + 1
+    at = (_YEAR * 2).find(season) if 0 < len(season) <= 12 else -1  # the first place where its initials stand in two years
+    if at >= 0:
+        return at % 12 + 1, (at + len(season) - 1) % 12 + 1
     raise ValueError(f"unknown season {season!r}")
 
 
-def normalize_times(cells: DataFrame, frequency: str = "monthly", mode: str = "intended") -> DataFrame:
-    """Monthly data to the first of the month, daily data to midnight; ``literal``: day 1 and hour 0 always, minutes kept."""
+#: Frequencies whose times go to the first of the month, and to midnight.
+_MONTHLY, _DAILY = ("YS", "YE", "QS", "QE", "MS", "ME"), ("W", "D")
+
+
+def normalize_times(cells: DataFrame, frequency: str | None = None, mode: str = "intended", axes: DataFrame | None = None) -> DataFrame:
+    """Monthly data to the first of the month, daily data to midnight, each dataset by its inferred frequency if none is given.
+
+    Times of other frequencies stay.  ``literal``: day 1 and hour 0 always, minutes kept.
+    """
     kind = cells.schema["time"].dataType.simpleString()
     t = F.col("time").cast("timestamp_ntz")
     if mode == "literal":
-        new = F.date_trunc("MONTH", t) + (t - F.date_trunc("HOUR", t))
+        new = _floor("MONTH", t) + F.make_dt_interval(F.lit(0), F.lit(0), F.minute(t), F.extract(F.lit("SECOND"), t))
+    elif frequency:
+        new = _floor({"monthly": "MONTH", "daily": "DAY"}[frequency], t)
     else:
-        new = F.date_trunc({"monthly": "MONTH", "daily": "DAY"}[frequency], t)
+        # One row a dataset, as many as the ensemble has names.
+        found = {r["name"]: r.freq.lstrip("0123456789") for r in infer_frequency(cells, axes).collect()}
+        of = lambda units: F.col("name").isin([n for n, f in found.items() if f in units])
+        new = F.when(of(_MONTHLY), _floor("MONTH", t)).when(of(_DAILY), _floor("DAY", t)).otherwise(t)
     return cells.withColumn("time", new.cast(kind))
 
 
@@ -54,7 +75,25 @@ def decode_months(months: Column, year0: int, month0: int = 1) -> dict[str, Colu
     return {"year": F.floor(n / 12).cast("int"), "month": (F.pmod(n, F.lit(12)) + 1).cast("int"), "day": F.lit(1)}
 
 
-def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode: str = "intended") -> DataFrame:
+#: Fixed value: month units, and the date that they count from.
+_MONTH_UNITS = r"months since (\d{1,4})-(\d{1,2})(?:-(\d{1,2}))?(?:[ T].*)?"
+
+
+def decode_month_units(df: DataFrame, units: str, column: str = "time") -> DataFrame:
+    """Whole months since a date as a struct ``year, month, day`` of the 360-day calendar.
+
+    Other units, a date that is not the first of its month, and numbers that are not whole are an error.
+    """
+    m = re.fullmatch(_MONTH_UNITS, units.strip())
+    if not m or not 1 <= int(m[2]) <= 12 or int(m[3] or 1) != 1:
+        raise ValueError(f"times of units {units!r} cannot be told")
+    if df.where(F.col(column).isNotNull() & (F.col(column).cast("double") != F.floor(F.col(column).cast("double")))).limit(1).count():
+        raise ValueError("months that are not whole cannot be told")
+    parts = decode_months(F.col(column).cast("bigint"), int(m[1]), int(m[2]))
+    return df.withColumn(column, F.struct(*[c.alias(k) for k, c in parts.items()]))
+
+
+def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode: str = "intended", axes: DataFrame | None = None) -> DataFrame:
     """The months of a season, cut to whole seasons at both ends of each dataset's years.
 
     ``literal`` compares years and months as unpadded text does.
@@ -62,8 +101,10 @@ def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode:
     if not season:
         return cells
     ms, me = season_months(season)
-    y, m, ys, ye = F.year("time"), F.month("time"), F.col("__ys"), F.col("__ye")
-    years = cells.groupBy("name").agg(F.min(F.year("time")).alias("__ys"), F.max(F.year("time")).alias("__ye"))
+    y, m, ys, ye = F.year("time"), F.month("time"), F.col("years.first"), F.col("years.last")
+    t = axis(known(cells, axes), "time")
+    # A row a dataset.
+    years = small(t.groupBy("name").agg(F.struct(F.min(F.year("time")).alias("first"), F.max(F.year("time")).alias("last")).alias("years")), "years")
     wanted = m.between(ms, me) if ms <= me else (m >= ms) | (m <= me)
     if mode == "intended":
         cut = (y * 100 + m >= ys * 100 + ms) & (y * 100 + m <= ye * 100 + me)
@@ -71,60 +112,82 @@ def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode:
         lo = (y > ys) | ((y == ys) & (F.lit(ms >= 10) & (m >= ms) | F.lit(ms == 1) & (m >= 10)))
         hi = (y < ye) | ((y == ye) & (F.lit(me >= 10) & (m < me) | F.lit(2 <= me <= 9) | F.lit(me == 1) & (m < 10)))
         cut = lo & hi
-    return cells.join(F.broadcast(years), "name").where(wanted & cut).drop("__ys", "__ye")
+    return cells.join(years, "name").where(wanted & cut).select(*cells.columns)
 
 
-def _bin(t: Column, n: int, unit: str, day0: Column) -> Column:
+def _seconds(t: Column, since: Column) -> Column:
+    """Whole seconds from a midnight, by the fields of both, so no time zone has a say."""
+    return F.date_diff(t.cast("date"), since.cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+
+
+def _bin(t: Column, n: int, unit: str, day0: Column | None) -> Column:
     """The label of a time's bin: last days for periods named by their end, else the left edge."""
     if unit in _UNITS:
         step = n * _UNITS[unit]
-        seconds = F.floor((F.unix_micros(t.cast("timestamp")) - F.unix_micros(day0.cast("timestamp"))) / 1_000_000)
-        return (day0 + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.floor(seconds / step) * step).cast("decimal(18,6)"))).cast("timestamp_ntz")
-    part = {"Y": "YEAR", "Q": "QUARTER", "M": "MONTH"}.get(unit[0])
+        return (day0 + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.floor(_seconds(t, day0) / step) * step).cast("decimal(18,6)"))).cast("timestamp_ntz")
     if unit == "W":
-        return F.date_add(F.date_trunc("WEEK", t).cast("date"), 6).cast("timestamp_ntz")
-    start = F.date_trunc(part, t).cast("date")
+        return F.date_add(_floor("WEEK", t).cast("date"), 6).cast("timestamp_ntz")
+    start = _floor({"Y": "YEAR", "Q": "QUARTER", "M": "MONTH"}[unit[0]], t)
     if unit.endswith("S"):
-        return start.cast("timestamp_ntz")
-    return F.last_day(F.add_months(start, {"Y": 11, "Q": 2, "M": 0}[unit[0]])).cast("timestamp_ntz")
+        return start
+    return F.last_day(F.add_months(start.cast("date"), {"Y": 11, "Q": 2, "M": 0}[unit[0]])).cast("timestamp_ntz")
 
 
-def resample(cells: DataFrame, freq: str, gaps: bool = True, exact: bool = False) -> DataFrame:
-    """Mean per bin, cell and dataset.  With ``gaps``, empty bins within a dataset's range are null rows.
+def binned(times: DataFrame, cells: DataFrame, n: int, unit: str) -> DataFrame:
+    """``cells`` with the labels of their bins for times; ``times``: ``name, time``, of which days and shorter take their first midnight."""
+    cells = cells.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    if unit not in _UNITS:
+        return cells.withColumn("time", _bin(F.col("time"), n, unit, None))
+    day0 = small(times.groupBy("name").agg(F.struct(_floor("DAY", F.min("time")).alias("at")).alias("first_day")), "first-days")
+    return cells.join(day0, "name").withColumn("time", _bin(F.col("time"), n, unit, F.col("first_day.at"))).drop("first_day")
 
-    ``exact``: sums values as DECIMAL(12, 2), so the result does not depend on order.
-    """
+
+def resample(cells: DataFrame, freq: str, gaps: bool = True, how: Callable[[Column], Column] = F.avg, axes: DataFrame | None = None) -> DataFrame:
+    """Mean (or another aggregate) per bin, cell and dataset.  With ``gaps``, empty bins within a dataset's range are null rows."""
     n, unit = parse_frequency(freq)
     if n > 1 and unit not in _UNITS:
         raise ValueError("multiples of days and shorter only")
     kind = cells.schema["time"].dataType.simpleString()
-    cells = cells.withColumn("time", F.col("time").cast("timestamp_ntz"))
-    day0 = cells.groupBy("name").agg(F.date_trunc("DAY", F.min("time")).cast("timestamp_ntz").alias("__day0"))
-    at = cells.join(F.broadcast(day0), "name").withColumn("time", _bin(F.col("time"), n, unit, F.col("__day0")))
-    value = F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / F.nullif(F.count("value").cast("double"), F.lit(0.0)) if exact else F.avg("value")
-    out = at.groupBy("name", "time", "x", "y").agg(value.alias("value"))
+    times = axis(known(cells, axes), "time") if unit in _UNITS else None
+    out = binned(times, cells, n, unit).groupBy("name", "time", "x", "y").agg(how(F.col("value")).alias("value"))
     if gaps:
+        out = materialize(out, "resampled")  # ends, grid and values are taken from the means, not from the cells again
         step = f"INTERVAL {n} {dict(D='DAY', h='HOUR', min='MINUTE', s='SECOND')[unit]}" if unit in _UNITS else {"Y": "INTERVAL 12 MONTH", "Q": "INTERVAL 3 MONTH", "M": "INTERVAL 1 MONTH", "W": "INTERVAL 7 DAY"}[unit[0]]
-        ends = at.groupBy("name").agg(F.min("time").alias("a"), F.max("time").alias("b"))
+        ends = out.groupBy("name").agg(F.min("time").alias("a"), F.max("time").alias("b"))
         if unit in ("YE", "QE", "ME"):
-            ends = ends.select("name", F.explode(F.expr(f"sequence(date_trunc('MONTH', a), date_trunc('MONTH', b), {step})")).alias("time")).select("name", F.last_day(F.col("time").cast("date")).cast("timestamp_ntz").alias("time"))
+            labels = F.transform(F.expr(f"sequence(trunc(cast(a as date), 'MONTH'), trunc(cast(b as date), 'MONTH'), {step})"), lambda t: F.last_day(t).cast("timestamp_ntz"))
         else:
-            ends = ends.select("name", F.explode(F.expr(f"sequence(a, b, {step})")).alias("time"))
-        spine = ends.join(out.select("name", "x", "y").distinct(), "name")
+            labels = F.expr(f"sequence(a, b, {step})")
+        bins = small(ends.select("name", labels.alias("bins")), "bins")
+        spine = out.select("name", "x", "y").distinct().join(bins, "name").select("name", F.explode("bins").alias("time"), "x", "y")
         out = spine.join(out, ["name", "time", "x", "y"], "left")
     return out.select("name", F.col("time").cast(kind).alias("time"), "x", "y", "value")
 
 
-def infer_frequency(cells: DataFrame) -> DataFrame:
-    """``name, freq`` from the steps between distinct times: YS, QS, MS, W, D, h, min, s with multiples, or unknown."""
-    t = cells.select("name", F.col("time").cast("timestamp_ntz").alias("t")).distinct()
+def infer_frequency(cells: DataFrame, axes: DataFrame | None = None) -> DataFrame:
+    """``name, freq`` from the steps between distinct times: YS, QS, MS, YE, QE, ME, W, D, h, min, s with multiples, or unknown.
+
+    Where the steps differ (a season's months), the first three times, taken to the first of their
+    months, tell.
+    """
+    t = axis(known(cells, axes), "time").select("name", F.col("time").cast("timestamp_ntz").alias("t")).distinct()
     w = Window.partitionBy("name").orderBy("t")
     prev = F.lag("t").over(w)
     months = (F.year("t") * 12 + F.month("t")) - (F.year(prev) * 12 + F.month(prev))
-    seconds = F.floor((F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1_000_000)
-    d = t.select("name", months.alias("m"), seconds.alias("s"), (F.dayofmonth("t") == 1).alias("first"))
-    a = d.groupBy("name").agg(F.min("m").alias("m0"), F.max("m").alias("m1"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.every("first").alias("first"), F.count("s").alias("n"))
-    same_m, same_s = F.col("first") & (F.col("m0") == F.col("m1")) & (F.col("m0") > 0), F.col("s0") == F.col("s1")
+    midnight = prev.cast("date").cast("timestamp_ntz")
+    seconds = _seconds(F.col("t"), midnight) - _seconds(prev, midnight)
+    d = t.select("name", months.alias("m"), seconds.alias("s"), (F.dayofmonth("t") == 1).alias("first"), (F.col("t").cast("date") == F.last_day(F.col("t").cast("date"))).alias("last"), F.row_number().over(w).alias("k"))
+    early = F.col("k").between(2, 3)
+    a = d.groupBy("name").agg(
+        F.min("m").alias("m0"), F.max("m").alias("m1"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.every("first").alias("first"), F.every("last").alias("last"), F.count("s").alias("n"),
+        F.min(F.when(early, F.col("m"))).alias("e0"), F.max(F.when(early, F.col("m"))).alias("e1"),
+    )
+
+    def by_months(m: Column, edge: Column) -> Column:
+        return F.concat(F.when(m % 12 == 0, "Y").when(m == 3, "Q").when(m == 1, "M").otherwise(F.concat(m.cast("string"), F.lit("M"))), edge)
+
+    same_m = (F.col("first") | F.col("last")) & (F.col("m0") == F.col("m1")) & (F.col("m0") > 0)
     fixed = F.coalesce(*[F.when(F.col("s0") % size == 0, F.concat(F.when(F.col("s0") != size, (F.col("s0") / size).cast("bigint").cast("string")).otherwise(""), F.lit(unit))) for unit, size in (("W", 604800), ("D", 86400), ("h", 3600), ("min", 60), ("s", 1))])
-    months_ = F.when(F.col("m0") % 12 == 0, "YS").when(F.col("m0") == 3, "QS").when(F.col("m0") == 1, "MS").otherwise(F.concat(F.col("m0").cast("string"), F.lit("MS")))
-    return a.select("name", F.when(F.col("n") < 2, "unknown").when(same_m, months_).when(same_s, fixed).otherwise("unknown").alias("freq"))
+    fallback = (F.col("n") >= 2) & (F.col("e0") == F.col("e1")) & (F.col("e0") > 0)
+    freq = F.when(F.col("n") < 2, "unknown").when(same_m, by_months(F.col("m0"), F.when(F.col("first"), "S").otherwise("E"))).when(F.col("s0") == F.col("s1"), fixed).when(fallback, by_months(F.col("e0"), F.lit("S"))).otherwise("unknown")
+    return a.select("name", freq.alias("freq"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..adapters import mesh
+from ..axes import known
 from ..bounds import Bounds, PolygonBounds, edges_of
 from ..functions import metadata as md
 from ..model import Ensemble, bias, concat
 from ..operators import regrid as rg
 from ..operators import spatial, timeops
 from ..registry import registry
+from ..tables import shared_dir
 from .. import sources
 
 #: The cubes that the queries are made on.
@@ -64,9 +69,35 @@ def on(which: str, sql: str, key: str, f: Callable[[DataFrame], DataFrame]) -> N
 
 # --- sources ---------------------------------------------------------------------------------------
 
-on("obs", "SELECT name, time, x, y, value FROM obs WHERE name = 'A'", "load_variable_select", lambda c: sources.select_variable(c.where("name = 'A'").drop("name").withColumn("name", F.lit("A")), variable="value"))
-on("obs", "SELECT name, time, x, y, value FROM obs WHERE x < 0", "multi_file_union", lambda c: c.where("x < 0 AND y < 0").unionByName(c.where("x < 0 AND y >= 0")))
+on("obs", "SELECT name, time, x, y, value FROM obs", "load_variable_select", lambda c: sources.select_variable(c, variable="value"))
+
+
+def _files_of(spark, sf_dir, which: str, pattern: str, parts: dict[str, str]) -> str:
+    """Writes each dataset of a view to files of its own, one a condition, and returns their folder."""
+    folder = f"{shared_dir(spark)}/gridspark/files-{uuid.uuid4().hex}"
+    cells = view(spark, sf_dir, which)
+    for name in NAMES:
+        for label, where in parts.items():
+            cells.where(F.col("name") == name).where(where).select(F.col("time").alias("date"), F.col("x").alias("lon"), F.col("y").alias("lat"), F.col("value").alias("clt")).write.parquet(f"{folder}/{pattern.format(name=name, part=label)}")
+    return folder
+
+
+@query("SELECT name, time, x, y, value FROM cube")
+def source_local(spark, sf_dir):
+    """A folder of files, one a dataset, with their own axis names; the datasets are named by what tells the files apart."""
+    folder = _files_of(spark, sf_dir, "cube", "clt_{name}_v1.parquet", {"all": "true"})
+    return sources.load_local(spark, f"{folder}/*.parquet").cells.select("name", "time", "x", "y", "value")
+
+
+@query("SELECT name || '2' AS name, time, x, y, value FROM cube")
+def multi_file_union(spark, sf_dir):
+    """Datasets of a project, each spread over several files."""
+    folder = _files_of(spark, sf_dir, "cube", "clt_mon_{name}_hist_r1_{part}.parquet", {"199501-199712": "year(time) < 1998", "199801-200112": "year(time) >= 1998"})
+    return sources.load_local(spark, folder, project="CMIP5", labels={n: n + "2" for n in NAMES}).cells.select("name", "time", "x", "y", "value")
+
+
 on("cube", "SELECT 'y' AS axis", "squeeze_axes", lambda c: sources.squeeze(c.where("y = -67.5")))
+on("cube", "SELECT name, time, x, value FROM cube WHERE y = -67.5", "squeeze_drop", lambda c: sources.squeezed(c.where("y = -67.5")))
 
 RCMED = [(i, f"header {i}") for i in range(12)] + [(12, "10.5,20.0,0,2000-01-01 00:00:00,1.5\r"), (13, "10.5,21.0,0,2000-01-01 00:00:00,-9999\r"), (14, "11.5,20.0,0,2000-02-01 00:00:00,2.25\r")]
 
@@ -81,10 +112,29 @@ def rcmed_metadata(spark, sf_dir):
     return sources.rcmed_metadata(spark, {"fields_name": ["parameter_id", "database", "missingdataflag"], "data": [[36, "TRMM", "-9999"], [37, "CRU", None]]})
 
 
+def _rcmed_answer(params: dict) -> str:
+    if "param_info" in params:
+        return json.dumps({"fields_name": ["parameter_id", "database", "units", "missingdataflag"], "data": [[36, "TRMM", "mm", "-9999"], [37, "CRU", "K", None]]})
+    return "\r\n".join("Parameter: pr (mm)" if n == 2 else line.strip() for n, line in RCMED) + "\r\n"
+
+
+@query("SELECT * FROM (VALUES ('TRMM', TIMESTAMP '2000-01-01', 20.0::DOUBLE, 10.5::DOUBLE, 1.5::DOUBLE), ('TRMM', TIMESTAMP '2000-01-01', 21.0, 10.5, NULL), ('TRMM', TIMESTAMP '2000-02-01', 20.0, 11.5, 2.25)) AS t(name, time, x, y, value)")
+def source_rcmed(spark, sf_dir):
+    return sources.RCMEDSource(fetch=_rcmed_answer)(spark, 3, 36, Bounds((0, 30), (0, 20))).cells.select("name", "time", "x", "y", "value")
+
+
+_CATALOG = [("clt", "m1", "a"), ("clt", "m2", "b"), ("pr", "m1", "c")]
+
+
+@query("SELECT * FROM " + _sql(_CATALOG, "variable_id, source_id, path") + " WHERE variable_id = 'clt' AND source_id IN ('m2', 'm3')")
+def catalog_search(spark, sf_dir):
+    return sources.search_catalog(values(spark, _CATALOG, "variable_id string, source_id string, path string"), {"variable_id": "clt", "source_id": ["m2", "m3"]})
+
+
 @query("SELECT n AS month_number, CAST((n + 23999 + 1) // 12 AS INT) AS year, CAST((n + 24000) % 12 + 1 AS INT) AS month, 1 AS day FROM (SELECT CAST(unnest(generate_series(0, 30)) AS BIGINT) AS n) AS t")
 def month_units_decode(spark, sf_dir):
-    d = timeops.decode_months(F.col("id"), 2000)
-    return spark.range(31).select(F.col("id").alias("month_number"), *[c.alias(k) for k, c in d.items()])
+    decoded = timeops.decode_month_units(spark.range(31).withColumn("time", F.col("id")), "months since 2000-01-01")
+    return decoded.select(F.col("id").alias("month_number"), "time.year", "time.month", "time.day")
 
 
 PATHS = ["/data/clt_modelA_hist.nc", "/data/clt_modelB_hist.nc", "/data/clt_C_hist.nc"]
@@ -99,7 +149,7 @@ def names_from_paths(spark, sf_dir):
 
 CORDEX_FILES = [f"/d/{v}_AFR-44_{g}_hist_r1i1p1_{m}_v1_mon_{t}.nc" for v in ("clt", "pr") for g, m in (("ECMWF", "RCA4"), ("CCCma", "CRCM5")) for t in ("199001-199912", "200001-200912")]
 CMIP5_FILES = [f"{v}_Amon_{m}_rcp45_r1i1p1_200601-210012.nc" for v in ("tas", "pr") for m in ("CanESM2", "MIROC5")]
-OBS_FILES = ["/o/pr_TRMM-L3_v7A_199801-201312.nc", "/o/clcalipso_obs4MIPs_CALIPSO_L3_V1_200606_201212.nc", "/o/zos_AVISO_L4_v1_199210-201012.nc"]
+OBS_FILES = ["/o/pr_TRMM-L3_v7A_199801-201312.nc", "/o/clcalipso_obs4MIPs_CALIPSO_L3_V1_200606_201212.nc", "/o/zos_AVISO_L4_199210-201012.nc"]
 
 
 def _files(spark, names):
@@ -129,11 +179,41 @@ def meta_extract_obs4mips(spark, sf_dir):
     return registry["metadata.obs4MIPs"].extract(_files(spark, OBS_FILES))
 
 
-@query("SELECT f AS filename, replace(regexp_replace(replace(replace(split(f, '/')[-1], '_obs4MIPs_', '_'), 'TRMM-L3', 'TRMM_L3'), '^(.*calipso.*)_(\\d+)_(\\d+)\\.nc$', '\\1_\\2-\\3.nc'), '', '') AS name FROM " + _sql([(x,) for x in OBS_FILES], "f"))
+@query("SELECT f AS filename, CASE WHEN f LIKE '%AVISO%' THEN 'zos_AVISO_L4_v1_199210-201012.nc' ELSE regexp_replace(replace(replace(split(f, '/')[-1], '_obs4MIPs_', '_'), 'TRMM-L3', 'TRMM_L3'), '^(.*calipso.*)_(\\d+)_(\\d+)\\.nc$', '\\1_\\2-\\3.nc') END AS name FROM " + _sql([(x,) for x in OBS_FILES], "f"))
 def meta_filter_filename(spark, sf_dir):
     return _files(spark, OBS_FILES).select("filename", md.obs4mips_name(F.col("filename")).alias("name"))
 
 
+@query("SELECT * FROM (VALUES ('pr_TRMM_L3_v7A_*.nc', '199801-201312'), ('clcalipso_CALIPSO_L3_V1_*.nc', '200606-201212'), ('zos_AVISO_L4_v1_*.nc', '199210-201012')) AS t(pattern, time_values)")
+def meta_pattern_obs4mips(spark, sf_dir):
+    return registry["metadata.obs4MIPs"].pattern(_files(spark, OBS_FILES)).select("pattern", F.array_join("values", ",").alias("time_values"))
+
+
+@query("SELECT * FROM (VALUES ('TRMM'), ('CALIPSO'), ('AVISO')) AS t(instrument)")
+def meta_instruments(spark, sf_dir):
+    e = registry["metadata.obs4MIPs"]
+    return e.instruments(e.extract(_files(spark, OBS_FILES)))
+
+
+@query("SELECT DISTINCT variable FROM (" + "SELECT split(split(f, '/')[-1], '_')[1] AS variable FROM " + _CORDEX_SQL + ") AS q")
+def meta_variables(spark, sf_dir):
+    e = registry["metadata.CORDEX"]
+    return e.variables(e.extract(_files(spark, CORDEX_FILES)))
+
+
+@query("SELECT f AS filename, 'clcalipso' AS variable, 'CALIPSO' AS instrument, 'L3' AS processing_level, 'V1' AS version, '200606-201212' AS time FROM " + _sql([(OBS_FILES[1],)], "f"))
+def meta_query_cleaned(spark, sf_dir):
+    """The wanted value is met after what is ignored has been cut out of it."""
+    e = registry["metadata.obs4MIPs"]
+    return e.query(e.extract(_files(spark, OBS_FILES)), variable="cl")
+
+
+@query("SELECT f AS filename, split(f, '-')[1] AS model, replace(split(f, '-')[3], '.dat', '') AS variable FROM " + _sql([("m1-x-pr.dat",), ("m2-y-clt.dat",)], "f"))
+def meta_params(spark, sf_dir):
+    e = registry["metadata.params"] if "metadata.params" in _registered() else md.build_extractor_from_params("params", ["model", "variable"], sep="-", ext=".dat", index=[0, 2])
+    return e.extract(_files(spark, ["m1-x-pr.dat", "m2-y-clt.dat"]))
+
+
 TEMPLATE_FILES = ["x_RCA4_y_1_2_3_clt.nc", "x_CRCM5_y_1_2_3_pr.nc"]
 
 
@@ -178,7 +258,19 @@ def meta_groupby(spark, sf_dir):
 
 # --- coordinates and bounds ----------------------------------------------------------------------------
 
-on("hetero", "SELECT name, time, CASE WHEN x >= 180 THEN x - 360 ELSE x END AS x, y, value FROM hetero WHERE name = 'N'", "adapter_lon_shift", lambda c: spatial.shift_longitude(c.where("name = 'N'")))
+on("hetero", "SELECT name, time, CASE WHEN name = 'N' AND x >= 180 THEN x - 360 ELSE x END AS x, y, value FROM hetero", "adapter_lon_shift", spatial.shift_longitude)
+_ADAPTED = "SELECT name, time, CASE WHEN name = 'N' AND x >= 180 THEN x - 360 ELSE x END AS x, y, CASE WHEN name = 'N' AND x >= 180 THEN x - 360 ELSE x END AS lon, y AS lat, value FROM hetero"
+on("hetero", _ADAPTED, "adapter_basic", lambda c: mesh(registry["adapter.basic"]()(c.withColumnsRenamed({"x": "nav_lon", "y": "Latitude", "time": "when"}), t="when")))
+on("hetero", "SELECT name, time, x / 45 AS x, y / 45 AS y, CASE WHEN name = 'N' AND x >= 180 THEN x - 360 ELSE x END AS lon, y AS lat, value FROM hetero", "adapter_curvilinear", lambda c: registry["adapter.basic"]()(c.select("name", F.col("time").alias("dates"), (F.col("x") / 45).alias("i"), (F.col("y") / 45).alias("j"), F.col("x").alias("longitude"), F.col("y").alias("lat"), "value")))
+on("cube", "SELECT DISTINCT name, 'x' AS axis, CASE name WHEN 'A' THEN 'descending' ELSE 'ascending' END AS \"order\" FROM cube", "adapter_axis_order", lambda c: spatial.axis_order(_stored(c)))
+on("cube", "SELECT name, time, CAST((x + 157.5) / 45 AS INT) AS xi, x, y, value FROM cube", "adapter_reverse", lambda c: spatial.reverse_axis(_stored(c)))
+
+
+def _stored(cells):
+    """The cube with places on its x axis, which A has in falling order."""
+    return cells.withColumn("xi", F.when(F.col("name") == "A", (157.5 - F.col("x")) / 45).otherwise((F.col("x") + 157.5) / 45).cast("int"))
+
+
 on("hetero", "SELECT DISTINCT name, x, y, CAST(dense_rank() OVER (PARTITION BY name ORDER BY x) - 1 AS INT) AS xi, CAST(dense_rank() OVER (PARTITION BY name ORDER BY y) - 1 AS INT) AS yi FROM hetero", "adapter_axis_index", spatial.index_axes)
 on("hetero", "SELECT DISTINCT x, y FROM hetero WHERE x BETWEEN -100 AND 100 AND y BETWEEN -30 AND 60", "domain_contains", lambda c: c.where(Bounds((-100, 100), (-30, 60)).contains()).select("x", "y").distinct())
 on("cube", "SELECT DISTINCT x, y FROM cube WHERE x >= 100 OR x <= -100", "domain_contains_wrap", lambda c: c.where(Bounds((100, -100)).contains()).select("x", "y").distinct())
@@ -246,10 +338,12 @@ def _date(s: str):
 
 # --- time ------------------------------------------------------------------------------------------------
 
-on("obs", "SELECT name, CAST(date_trunc('month', time) AS DATE) AS time, x, y, value FROM obs", "normalize_monthly", timeops.normalize_times)
+on("obs", "SELECT name, CAST(date_trunc('month', time) AS DATE) AS time, x, y, value FROM obs", "normalize_monthly", lambda c: timeops.normalize_times(c, "monthly"))
+on("cube", "SELECT name, time, x, y, value FROM cube", "normalize_inferred", lambda c: timeops.normalize_times(c.withColumn("time", F.date_add("time", 14))))
 on("ev", "SELECT name, date_trunc('day', time)::TIMESTAMP AS time, x, y, value FROM ev", "normalize_daily", lambda c: timeops.normalize_times(c, "daily"))
 on("ev", "SELECT name, date_trunc('month', time)::TIMESTAMP + (time - date_trunc('hour', time)) AS time, x, y, value FROM ev", "normalize_literal", lambda c: timeops.normalize_times(c, mode="literal"))
 on("cube", "SELECT DISTINCT name, 'MS' AS freq FROM cube", "infer_freq", timeops.infer_frequency)
+on("cube", "SELECT DISTINCT name, 'MS' AS freq FROM cube", "infer_freq_season", lambda c: timeops.infer_frequency(timeops.select_season(c, "DJF")))
 _YEARS = "(SELECT name AS n, min(year(time)) AS ys, max(year(time)) AS ye FROM cube GROUP BY name) AS r"
 
 
@@ -272,7 +366,13 @@ on("obs", _R.format("CAST(date_trunc('week', time) + INTERVAL 6 DAY AS DATE)", "
 on("obs", _R.format("time", "obs"), "resample_day", lambda c: timeops.resample(c, "D", gaps=False))
 on("obs", "WITH r AS (SELECT name, CAST(date_trunc('month', time) AS DATE) AS time, x, y, avg(value) AS value FROM obs GROUP BY 1, 2, 3, 4), s AS (SELECT name, CAST(unnest(generate_series(min(time), max(time), INTERVAL 1 MONTH)) AS DATE) AS time FROM r GROUP BY name), g AS (SELECT DISTINCT name, x, y FROM r) SELECT s.name, s.time, g.x, g.y, r.value FROM s JOIN g ON s.name = g.name LEFT JOIN r ON r.name = s.name AND r.time = s.time AND r.x = g.x AND r.y = g.y", "resample_month_gapfill", lambda c: timeops.resample(c, "MS"))
 _D0 = "(SELECT name AS n, date_trunc('day', min(time))::TIMESTAMP AS d0 FROM ev GROUP BY name) AS z"
-on("ev", f"SELECT name, d0 + to_seconds(CAST(floor(epoch(time - d0) / 21600) * 21600 AS BIGINT)) AS time, x, y, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(value) AS value FROM ev JOIN {_D0} ON name = n GROUP BY 1, 2, 3, 4", "resample_6h", lambda c: timeops.resample(c, "6h", gaps=False, exact=True))
+on("ev", f"SELECT name, d0 + to_seconds(CAST(floor(epoch(time - d0) / 21600) * 21600 AS BIGINT)) AS time, x, y, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(value) AS value FROM ev JOIN {_D0} ON name = n GROUP BY 1, 2, 3, 4", "resample_6h", lambda c: timeops.resample(c, "6h", gaps=False, how=_exact_mean))
+on("obs", "SELECT name, time, x, y, value FROM cube", "resample_reference", lambda c: Ensemble(c.where("name <> 'A'").unionByName(timeops.resample(c.where("name = 'A'"), "MS", gaps=False)), NAMES).resample(reference="A", gaps=False).cells.drop("bundle"))
+
+
+def _exact_mean(value):
+    """A mean whose sum does not depend on the order of rows, for values of two decimals."""
+    return F.sum(value.cast("decimal(12,2)")).cast("double") / F.count(value)
 
 
 @query("SELECT y, m, d, try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) AS date FROM " + _sql([(2000, 2, 29), (2000, 2, 30), (2001, 12, 30)], "y, m, d"))
@@ -289,7 +389,14 @@ def grid_from_res(spark, sf_dir):
 
 
 on("cube", "SELECT DISTINCT name, x, y FROM cube", "grid_from_data", rg.grid_of)
-on("cube", "SELECT a.x, b.y FROM (SELECT DISTINCT x FROM cube) AS a, (SELECT DISTINCT y FROM cube) AS b", "meshgrid", lambda c: c.select("x").distinct().crossJoin(F.broadcast(c.select("y").distinct())))
+on("cube", "SELECT a.x, b.y FROM (SELECT DISTINCT x FROM cube) AS a, (SELECT DISTINCT y FROM cube) AS b", "meshgrid", lambda c: _mesh_of(known(c, None)))
+
+
+def _mesh_of(axes):
+    """Each y of any dataset with each x, which go along as one array."""
+    return axes.where("axis = 'y'").select(F.col("at").alias("y")).distinct().withColumn("x", F.explode(axes.where("axis = 'x'").select(F.collect_set("at")).scalar()))
+
+
 _TX = "(SELECT CAST(-150 AS DOUBLE) + 30 * unnest(generate_series(0, 10)) AS x)"
 _TY = "(SELECT CAST(-70 AS DOUBLE) + 20 * unnest(generate_series(0, 7)) AS y)"
 
@@ -329,6 +436,22 @@ query(
     f"WITH sx AS ({_edges_sql('x', '(SELECT DISTINCT name, x FROM cube) AS q', 'name', (-1e9, 1e9))}), sy AS ({_edges_sql('y', '(SELECT DISTINCT name, y FROM cube) AS q', 'name', (-90.0, 90.0))}), tx AS ({_edges_sql('x', _CX + ' AS q', '', (-1e9, 1e9))}), ty AS ({_edges_sql('y', _CY + ' AS q', '', (-90.0, 90.0))}), wx AS (SELECT name, sx.x, tx.x AS o, least(sx.hi, tx.hi) - greatest(sx.lo, tx.lo) AS w FROM sx JOIN tx ON sx.lo < tx.hi AND tx.lo < sx.hi), wy AS (SELECT name, sy.y, ty.y AS o, sin(radians(least(sy.hi, ty.hi))) - sin(radians(greatest(sy.lo, ty.lo))) AS w FROM sy JOIN ty ON sy.lo < ty.hi AND ty.lo < sy.hi) SELECT c.name, c.time, wx.o AS x, wy.o AS y, round(sum(c.value * wx.w * wy.w) / sum(wx.w * wy.w), 9) AS value FROM cube c JOIN wx ON c.name = wx.name AND c.x = wx.x JOIN wy ON c.name = wy.name AND c.y = wy.y GROUP BY 1, 2, 3, 4",
     name="regrid_conservative",
 )(lambda spark, sf_dir: rg.regrid(view(spark, sf_dir, "cube"), rg.grid_from_res(spark, (60, 60), (-150, 210), (-60, 120)), "conservative").withColumn("value", F.round("value", 9)))
+on("cube", "SELECT c.name, c.time, c.x, c.y, round(c.value, 6) AS value FROM cube c", "regrid_own_grid", lambda c: Ensemble(c, NAMES).regrid("N").cells.select("name", "time", "x", "y", _rounded().alias("value")))
+_CURVED = "(SELECT 5.0::DOUBLE + 6 * unnest(generate_series(-10, 10)) AS xo)"
+
+
+@query(
+    f"WITH p AS (SELECT xo, yo, ((xo - 0.2 * yo) / 0.5 + 157.5) / 45 AS u, (yo / 0.5 + 67.5) / 45 AS v FROM {_CURVED} AS a, (SELECT 1.0::DOUBLE + 7 * unnest(generate_series(-5, 4)) AS yo) AS b), q AS (SELECT xo, yo, floor(u) AS i, floor(v) AS j, u - floor(u) AS s, v - floor(v) AS t FROM p), "
+    "k AS (SELECT xo, yo, i, j, (1 - s) * (1 - t) AS w FROM q UNION ALL SELECT xo, yo, i + 1, j, s * (1 - t) FROM q UNION ALL SELECT xo, yo, i, j + 1, (1 - s) * t FROM q UNION ALL SELECT xo, yo, i + 1, j + 1, s * t FROM q), g AS (SELECT DISTINCT name, (x + 157.5) / 45 AS i, (y + 67.5) / 45 AS j FROM cube), "
+    "f AS (SELECT name, xo, yo FROM g JOIN k ON g.i = k.i AND g.j = k.j GROUP BY 1, 2, 3 HAVING count(*) = 4) "
+    "SELECT c.name, c.time, k.xo AS x, k.yo AS y, CASE WHEN count(c.value) = 4 THEN round(sum(c.value * k.w), 6) END AS value FROM cube c JOIN k ON (c.x + 157.5) / 45 = k.i AND (c.y + 67.5) / 45 = k.j JOIN f ON f.name = c.name AND f.xo = k.xo AND f.yo = k.yo GROUP BY 1, 2, 3, 4"
+)
+def regrid_curvilinear(spark, sf_dir):
+    """A sheared grid: longitudes of a row move with its latitude."""
+    cells = view(spark, sf_dir, "cube").select("name", "time", ((F.col("x") + 157.5) / 45).cast("int").alias("xi"), ((F.col("y") + 67.5) / 45).cast("int").alias("yi"), (0.5 * F.col("x") + 0.1 * F.col("y")).alias("lon"), (0.5 * F.col("y")).alias("lat"), "value")
+    return rg.regrid_curvilinear(cells, rg.grid_from_res(spark, (6, 7), (-55, 66), (-34, 30))).withColumn("value", _rounded())
+
+
 _NEAR = [(-157.3, -67.4), (-157.5, -67.2), (-100.0, 0.0), (22.4, 22.6)]
 
 
@@ -361,12 +484,12 @@ on("cube", "SELECT c.name, c.time, c.x, c.y, c.value - r.value AS value FROM cub
 on("cube", "SELECT name, time, x, y, CASE WHEN name = 'N' THEN value * 2 ELSE value END AS value FROM cube", "apply_on_labels", lambda c: Ensemble(c, NAMES).apply_on_labels(lambda d: d.withColumn("value", F.col("value") * 2), "N").cells.drop("bundle"))
 on("cube", "SELECT name, time, x, y, value + 1 AS value FROM cube", "apply_udf", lambda c: Ensemble(c, NAMES).apply_pandas(lambda p: p.assign(value=p["value"] + 1)).cells.drop("bundle"))
 on("cube", "SELECT name, time, x, y, value FROM cube", "concat", lambda c: concat(Ensemble(c, NAMES)[["A"]], Ensemble(c, NAMES)[["N", "R"]]).cells.drop("bundle"))
+on("cube", "SELECT name, time, x, y, CASE WHEN name = 'N' THEN value * 3 ELSE value END AS value FROM cube UNION ALL SELECT 'new', time, x, y, value FROM cube WHERE name = 'A'", "assign", lambda c: Ensemble(c, NAMES).assign(c.where("name = 'N'").withColumn("value", F.col("value") * 3).unionByName(c.where("name = 'A'").withColumn("name", F.lit("new"))), ["N", "new"]).cells.drop("bundle"))
 on("cube", "WITH e AS (SELECT count(DISTINCT time) * count(DISTINCT x) * count(DISTINCT y) * 8 AS b FROM cube GROUP BY name) SELECT CAST(sum(b) AS BIGINT) AS bytes, printf('%.2fkB', sum(b) / 1000.0) AS rendered FROM e", "ensemble_size", lambda c: Ensemble(c, NAMES).size())
 
 
 def _homogenized(spark: SparkSession, sf_dir: str) -> Ensemble:
-    cells = spatial.shift_longitude(view(spark, sf_dir, "hetero"))
-    return Ensemble(cells, NAMES).homogenize(freq="Y", season="DJF", target=rg.grid_from_res(spark, (45, 45), (-135, 180), (-45, 90)), domain=Bounds((-160, 160), (-70, 70)))
+    return Ensemble(view(spark, sf_dir, "hetero"), NAMES).adapt().homogenize(freq="Y", season="DJF", target=rg.grid_from_res(spark, (45, 45), (-135, 180), (-45, 90)), domain=Bounds((-160, 160), (-70, 70)))
 
 
 _CHAIN = (
