@@ -223,8 +223,8 @@ def regrid(cells: DataFrame, target: DataFrame, method: str | None = None, backe
     """
     regridder = registry["regridder"][backend or _OF.get(method, "scipy")](target, method, **options)
     axes = known(cells, axes)
-    same = [r["name"] for r in on_grid(axes, target).collect()]
-    rest = [r["name"] for r in axes.select("name").distinct().where(~F.col("name").isin(same)).collect()]
+    found = {r["name"]: r.same for r in on_grid(axes, target).collect()}  # a row a dataset
+    same, rest = [n for n, s in found.items() if s], [n for n, s in found.items() if not s]
     columns = ["name", "time", "x", "y", "value"]
     if not rest:
         return cells.select(*columns)
@@ -238,11 +238,11 @@ def regrid(cells: DataFrame, target: DataFrame, method: str | None = None, backe
 
 
 def on_grid(axes: DataFrame, target: DataFrame) -> DataFrame:
-    """``name`` of the datasets whose axes are those of the target, by fingerprints of both."""
+    """``name, same``: whether a dataset's axes are those of the target, by fingerprints of both."""
     mark = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: v.cast("double").cast("string")), ","), 256)
     goal = target.agg(F.concat(mark("x"), mark("y")).alias("mark")).select("mark").scalar()
     at = lambda a: F.when(F.col("axis") == a, F.col("at"))
-    return axes.groupBy("name").agg(F.concat(mark(at("x")), mark(at("y"))).alias("mark")).where(F.col("mark") == goal).select("name")
+    return axes.groupBy("name").agg(F.concat(mark(at("x")), mark(at("y"))).alias("mark")).select("name", (F.col("mark") == goal).alias("same"))
 
 
 def nearest_by_distance(cells: DataFrame, target: DataFrame, radius: float = 50_000.0, axes: DataFrame | None = None) -> DataFrame:
