@@ -13,6 +13,7 @@ from .bounds import Bounds
 from .operators import regrid as rg
 from .operators import spatial, timeops
 from .registry import registry
+from .tables import small
 
 
 class Ensemble:
@@ -25,12 +26,13 @@ class Ensemble:
     """
 
     def __init__(self, cells: DataFrame, names: list[str], axes: DataFrame | None = None, adapter: str | None = None) -> None:
+        """``axes``: those of the cells, where a step knows them; they are computed when first asked for."""
         if adapter:
             cells = registry["adapter"][adapter]()(cells)
         # Bundle of each name as far as operations have set one; not known of cells that bring their own.
         self._bundles: dict[str, str] | None = None if "bundle" in cells.columns else {}
         self.cells = cells if "bundle" in cells.columns else cells.withColumn("bundle", F.lit(None).cast("string"))
-        self._names, self._axes = list(names), axes
+        self._names, self._axes, self._settled = list(names), axes, False
 
     def _with(self, cells: DataFrame, names: list[str] | None = None, axes: DataFrame | None = None) -> Ensemble:
         return Ensemble(cells, self._names if names is None else names, axes)
@@ -52,13 +54,15 @@ class Ensemble:
 
     def _carry(self, out: Ensemble, bundles: dict[str, str] | None = None) -> Ensemble:
         out._bundles = self._bundles if bundles is None else bundles
+        out._settled = self._settled and out._axes is self._axes
         return out
 
     @property
     def axes(self) -> DataFrame:
         """``name, axis, at, time``, computed once."""
-        if self._axes is None:
-            self._axes = known(self.cells, None)
+        if not self._settled:
+            self._axes = known(self.cells, None) if self._axes is None else small(self._axes, "axes")
+            self._settled = True
         return self._axes
 
     @property
@@ -132,17 +136,18 @@ class Ensemble:
         return self._axes.where("axis <> 'time'").union(times.distinct())
 
     def normalize_times(self, frequency: str | None = None, mode: str = "intended") -> Ensemble:
-        axes = self.axes if not frequency and mode == "intended" else None
-        return self._carry(self._with(timeops.normalize_times(self.cells, frequency, mode, axes), axes=self._times(lambda t: timeops.normalize_times(t, frequency, mode, axes))))
+        found = timeops.frequencies(self.axes) if not frequency and mode == "intended" else None
+        return self._carry(self._with(timeops.normalize_times(self.cells, frequency, mode, found=found), axes=self._times(lambda t: timeops.normalize_times(t, frequency, mode, found=found))))
 
     def select_season(self, season=None, mode: str = "intended") -> Ensemble:
         if not season:
             return self
-        return self._carry(self._with(timeops.select_season(self.cells, season, mode, self.axes), axes=self._times(lambda t: timeops.select_season(t, season, mode, self.axes))))
+        years = timeops.season_years(self.axes)
+        return self._carry(self._with(timeops.select_season(self.cells, season, mode, years=years), axes=self._times(lambda t: timeops.select_season(t, season, mode, years=years))))
 
     def resample(self, freq: str | None = None, gaps: bool = True, reference: str | None = None, how=F.avg) -> Ensemble:
         """Means at a frequency, by default that of ``reference`` or the first dataset; datasets that have it pass unchanged."""
-        found = {r["name"]: r.freq for r in timeops.infer_frequency(self.cells, self.axes).collect()}
+        found = timeops.frequencies(self.axes)
         freq = freq or found[reference or self._names[0]]
         n, unit = timeops.parse_frequency(freq)
         same = [name for name, f in found.items() if f != "unknown" and timeops.parse_frequency(f) == (n, unit)]

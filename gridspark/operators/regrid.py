@@ -101,7 +101,14 @@ class Regridder:
         self.method = method or self.methods[0]
         if self.method not in self.methods:
             raise NotImplementedError(f"{type(self).__name__} offers {', '.join(self.methods)}, not {self.method}")
-        self.target, self.options, self._weights = target, options, None
+        self.target, self.options, self._weights, self._goal = target, options, None, None
+
+    @property
+    def goal(self) -> DataFrame:
+        """The axes of the target, computed once."""
+        if self._goal is None:
+            self._goal = known(self.target.withColumn("name", F.lit("")), None)
+        return self._goal
 
     def weights(self, axes: DataFrame) -> dict[str, DataFrame]:
         raise NotImplementedError
@@ -136,7 +143,7 @@ class AxisRegridder(Regridder):
     methods = ("linear", "nearest")
 
     def weights(self, axes: DataFrame) -> dict[str, DataFrame]:
-        return {c: linear_weights(axes, self.target, c, self.method == "nearest") for c in ("x", "y")}
+        return {c: linear_weights(axes, axis(self.goal, c), c, self.method == "nearest") for c in ("x", "y")}
 
     def apply(self, cells: DataFrame, weights: dict[str, DataFrame]) -> DataFrame:
         n = 1 if self.method == "nearest" else 4
@@ -151,7 +158,7 @@ class AreaRegridder(Regridder):
 
     def weights(self, axes: DataFrame) -> dict[str, DataFrame]:
         make = {"bilinear": linear_weights, "conservative": overlap_weights}.get(self.method) or (lambda a, t, c: nearest_weights(a, t, c, self.method[-3:]))
-        return {c: make(axes, self.target, c) for c in ("x", "y")}
+        return {c: make(axes, axis(self.goal, c), c) for c in ("x", "y")}
 
     def apply(self, cells: DataFrame, weights: dict[str, DataFrame]) -> DataFrame:
         total = lambda w: F.sum(F.col("value") * w)
@@ -223,7 +230,7 @@ def regrid(cells: DataFrame, target: DataFrame, method: str | None = None, backe
     """
     regridder = registry["regridder"][backend or _OF.get(method, "scipy")](target, method, **options)
     axes = known(cells, axes)
-    found = {r["name"]: r.same for r in on_grid(axes, target).collect()}  # a row a dataset
+    found = {r["name"]: r.same for r in on_grid(axes, regridder.goal).collect()}  # a row a dataset
     same, rest = [n for n, s in found.items() if s], [n for n, s in found.items() if not s]
     columns = ["name", "time", "x", "y", "value"]
     if not rest:
@@ -237,12 +244,13 @@ def regrid(cells: DataFrame, target: DataFrame, method: str | None = None, backe
     return out.unionByName(cells.where(F.col("name").isin(same)).select(*columns)) if same else out
 
 
-def on_grid(axes: DataFrame, target: DataFrame) -> DataFrame:
+def on_grid(axes: DataFrame, goal: DataFrame) -> DataFrame:
     """``name, same``: whether a dataset's axes are those of the target, by fingerprints of both."""
     mark = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: v.cast("double").cast("string")), ","), 256)
-    goal = target.agg(F.concat(mark("x"), mark("y")).alias("mark")).select("mark").scalar()
     at = lambda a: F.when(F.col("axis") == a, F.col("at"))
-    return axes.groupBy("name").agg(F.concat(mark(at("x")), mark(at("y"))).alias("mark")).select("name", (F.col("mark") == goal).alias("same"))
+    both = F.concat(mark(at("x")), mark(at("y"))).alias("mark")
+    wanted = goal.agg(both).select("mark").scalar()
+    return axes.groupBy("name").agg(both).select("name", (F.col("mark") == wanted).alias("same"))
 
 
 def nearest_by_distance(cells: DataFrame, target: DataFrame, radius: float = 50_000.0, axes: DataFrame | None = None) -> DataFrame:

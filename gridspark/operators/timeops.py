@@ -45,8 +45,8 @@ def season_months(season: str | tuple[int, int]) -> tuple[int, int]:
 _MONTHLY, _DAILY = ("YS", "YE", "QS", "QE", "MS", "ME"), ("W", "D")
 
 
-def normalize_times(cells: DataFrame, frequency: str | None = None, mode: str = "intended", axes: DataFrame | None = None) -> DataFrame:
-    """Monthly data to the first of the month, daily data to midnight, each dataset by its inferred frequency if none is given.
+def normalize_times(cells: DataFrame, frequency: str | None = None, mode: str = "intended", axes: DataFrame | None = None, found: dict[str, str] | None = None) -> DataFrame:
+    """Monthly data to the first of the month, daily data to midnight, each dataset by its frequency (``found``, else inferred) if none is given.
 
     Times of other frequencies stay.  ``literal``: day 1 and hour 0 always, minutes kept.
     """
@@ -57,9 +57,8 @@ def normalize_times(cells: DataFrame, frequency: str | None = None, mode: str =
     elif frequency:
         new = _floor({"monthly": "MONTH", "daily": "DAY"}[frequency], t)
     else:
-        # One row a dataset, as many as the ensemble has names.
-        found = {r["name"]: r.freq.lstrip("0123456789") for r in infer_frequency(cells, axes).collect()}
-        of = lambda units: F.col("name").isin([n for n, f in found.items() if f in units])
+        found = frequencies(known(cells, axes)) if found is None else found
+        of = lambda units: F.col("name").isin([n for n, f in found.items() if f.lstrip("0123456789") in units])
         new = F.when(of(_MONTHLY), _floor("MONTH", t)).when(of(_DAILY), _floor("DAY", t)).otherwise(t)
     return cells.withColumn("time", new.cast(kind))
 
@@ -93,8 +92,14 @@ def decode_month_units(df: DataFrame, units: str, column: str = "time") -> DataF
     return df.withColumn(column, F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
-def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode: str = "intended", axes: DataFrame | None = None) -> DataFrame:
-    """The months of a season, cut to whole seasons at both ends of each dataset's years.
+def season_years(axes: DataFrame) -> DataFrame:
+    """``name, years``: the first and last year of each dataset, computed once."""
+    years = F.struct(F.min(F.year("time")).alias("first"), F.max(F.year("time")).alias("last"))
+    return small(axis(axes, "time").groupBy("name").agg(years.alias("years")), "years")
+
+
+def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode: str = "intended", axes: DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
+    """The months of a season, cut to whole seasons at both ends of each dataset's years (``years``, else those of ``axes``).
 
     ``literal`` compares years and months as unpadded text does.
     """
@@ -102,9 +107,7 @@ def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode:
         return cells
     ms, me = season_months(season)
     y, m, ys, ye = F.year("time"), F.month("time"), F.col("years.first"), F.col("years.last")
-    t = axis(known(cells, axes), "time")
-    # A row a dataset.
-    years = small(t.groupBy("name").agg(F.struct(F.min(F.year("time")).alias("first"), F.max(F.year("time")).alias("last")).alias("years")), "years")
+    years = season_years(known(cells, axes)) if years is None else years
     wanted = m.between(ms, me) if ms <= me else (m >= ms) | (m <= me)
     if mode == "intended":
         cut = (y * 100 + m >= ys * 100 + ms) & (y * 100 + m <= ye * 100 + me)
@@ -170,24 +173,30 @@ def infer_frequency(cells: DataFrame, axes: DataFrame | None = None) -> DataFram
     Where the steps differ (a season's months), the first three times, taken to the first of their
     months, tell.
     """
-    t = axis(known(cells, axes), "time").select("name", F.col("time").cast("timestamp_ntz").alias("t")).distinct()
-    w = Window.partitionBy("name").orderBy("t")
-    prev = F.lag("t").over(w)
-    months = (F.year("t") * 12 + F.month("t")) - (F.year(prev) * 12 + F.month(prev))
-    midnight = prev.cast("date").cast("timestamp_ntz")
-    seconds = _seconds(F.col("t"), midnight) - _seconds(prev, midnight)
-    d = t.select("name", months.alias("m"), seconds.alias("s"), (F.dayofmonth("t") == 1).alias("first"), (F.col("t").cast("date") == F.last_day(F.col("t").cast("date"))).alias("last"), F.row_number().over(w).alias("k"))
-    early = F.col("k").between(2, 3)
-    a = d.groupBy("name").agg(
-        F.min("m").alias("m0"), F.max("m").alias("m1"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.every("first").alias("first"), F.every("last").alias("last"), F.count("s").alias("n"),
-        F.min(F.when(early, F.col("m"))).alias("e0"), F.max(F.when(early, F.col("m"))).alias("e1"),
+    t = axis(known(cells, axes), "time").selectExpr("name", "cast(time AS timestamp_ntz) AS t").distinct()
+    steps = t.selectExpr("name", "t", "lag(t) OVER (PARTITION BY name ORDER BY t) AS p", "row_number() OVER (PARTITION BY name ORDER BY t) AS k")
+    clock = "hour({0}) * 3600 + minute({0}) * 60 + second({0})"  # of the fields, so no time zone has a say
+    d = steps.selectExpr(
+        "name", "k BETWEEN 2 AND 3 AS early", "day(t) = 1 AS starts", "date(t) = last_day(date(t)) AS ends",
+        "year(t) * 12 + month(t) - year(p) * 12 - month(p) AS m",
+        f"date_diff(date(t), date(p)) * 86400L + ({clock.format('t')}) - ({clock.format('p')}) AS s",
     )
+    of = {"m0": "min(m)", "m1": "max(m)", "s0": "min(s)", "s1": "max(s)", "n": "count(s)", "starts": "every(starts)", "ends": "every(ends)", "e0": "min(m) FILTER (WHERE early)", "e1": "max(m) FILTER (WHERE early)"}
+    a = d.groupBy("name").agg(*[F.expr(e).alias(k) for k, e in of.items()])
+
+    def by_months(m: str, edge: str) -> str:
+        return f"concat(CASE WHEN {m} % 12 = 0 THEN 'Y' WHEN {m} = 3 THEN 'Q' WHEN {m} = 1 THEN 'M' ELSE concat(cast({m} AS string), 'M') END, {edge})"
+
+    sizes = (("W", 604800), ("D", 86400), ("h", 3600), ("min", 60), ("s", 1))
+    fixed = " ".join(f"WHEN s0 % {size} = 0 THEN concat(CASE WHEN s0 <> {size} THEN cast(s0 DIV {size} AS string) ELSE '' END, '{unit}')" for unit, size in sizes)
+    freq = f"""CASE WHEN n < 2 THEN 'unknown'
+        WHEN (starts OR ends) AND m0 = m1 AND m0 > 0 THEN {by_months("m0", "CASE WHEN starts THEN 'S' ELSE 'E' END")}
+        WHEN s0 = s1 THEN CASE {fixed} END
+        WHEN e0 = e1 AND e0 > 0 THEN {by_months("e0", "'S'")}
+        ELSE 'unknown' END AS freq"""
+    return a.selectExpr("name", freq)
 
-    def by_months(m: Column, edge: Column) -> Column:
-        return F.concat(F.when(m % 12 == 0, "Y").when(m == 3, "Q").when(m == 1, "M").otherwise(F.concat(m.cast("string"), F.lit("M"))), edge)
 
-    same_m = (F.col("first") | F.col("last")) & (F.col("m0") == F.col("m1")) & (F.col("m0") > 0)
-    fixed = F.coalesce(*[F.when(F.col("s0") % size == 0, F.concat(F.when(F.col("s0") != size, (F.col("s0") / size).cast("bigint").cast("string")).otherwise(""), F.lit(unit))) for unit, size in (("W", 604800), ("D", 86400), ("h", 3600), ("min", 60), ("s", 1))])
-    fallback = (F.col("n") >= 2) & (F.col("e0") == F.col("e1")) & (F.col("e0") > 0)
-    freq = F.when(F.col("n") < 2, "unknown").when(same_m, by_months(F.col("m0"), F.when(F.col("first"), "S").otherwise("E"))).when(F.col("s0") == F.col("s1"), fixed).when(fallback, by_months(F.col("e0"), F.lit("S"))).otherwise("unknown")
-    return a.select("name", freq.alias("freq"))
+def frequencies(axes: DataFrame) -> dict[str, str]:
+    """The inferred frequency of each name; one row a dataset is collected."""
+    return {r["name"]: r.freq for r in infer_frequency(axes, axes).collect()}

@@ -43,11 +43,11 @@ def small(df: DataFrame, what: str) -> DataFrame:
     """``df`` computed once.
 
     Up to ``MOST_LOCAL`` rows become a local table, whose exact size Spark knows and which it broadcasts
-    by itself; a larger one is written to the shared folder, and broadcast up to ``MOST_BROADCAST`` rows.
+    by itself; in one partition, so windows and sums over it need no exchange.  A larger one is written to the shared folder, and broadcast up to ``MOST_BROADCAST`` rows.
     """
     rows = df.limit(MOST_LOCAL + 1).toArrow()
     if rows.num_rows <= MOST_LOCAL:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema)  # a local relation: no Python worker reads it
+        return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)  # a local relation: no Python worker reads it
     written = materialize(df, what)
     return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
 
