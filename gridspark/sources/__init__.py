@@ -2,7 +2,7 @@
 
 A source is called with a session and what it is to load; ``load`` gives one table a dataset, under
 any column names, which an adapter brings to canonical axes and an ensemble holds together.  Gridded
-data are read as Parquet; formats and services that need a library or network that is not here are
+data are read as Parquet or classic NetCDF; formats and services that need a library or network that is not here are
 refused after their arguments have been checked.
 """
 
@@ -24,6 +24,7 @@ from ..bounds import Bounds
 from ..functions.metadata import Extractor
 from ..registry import register, registry
 from ..tables import listing
+from .netcdf import read_netcdf
 
 _AXES = ("time", "x", "y", "lev", "lon", "lat", "xi", "yi")
 
@@ -68,14 +69,14 @@ def select_variable(df: DataFrame, axes: tuple[str, ...] = _AXES, variable: str
     return df.select(who.alias("name"), *[c for c in axes if c in df.columns], F.nullif(F.col(variable).cast("double"), F.lit(float("nan"))).alias("value"))
 
 
-def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of one dataset as one table; ``path`` is where a row came from."""
-    if any(p.endswith((".nc", ".nc4")) for p in paths):
-        raise NotImplementedError("NetCDF needs a reader that is not installed; convert to Parquet first")
-    out = None
+def _read(spark: SparkSession, paths: list[str], variable: str | None = None) -> DataFrame:
+    """Files of one dataset as one table, of NetCDF files one variable."""
+    grids = [p for p in paths if p.endswith((".nc", ".nc3", ".nc4", ".cdf"))]
+    out = read_netcdf(spark, grids, variable) if grids else None
     for p in paths:
-        part = spark.read.parquet(p)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        if p not in grids:
+            part = spark.read.parquet(p)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no files")
     return out
@@ -88,13 +89,13 @@ def times_of_files(files: DataFrame, extractor: Extractor, path: str = "filename
 
 @register("source.local")
 class LocalFileSource(DataSource):
-    """Parquet files and folders, one dataset a path or, with a ``project``, one a name in the file names."""
+    """Parquet files and folders and classic NetCDF files, one dataset a path or, with a ``project``, one a name in the file names."""
 
     def load(self, spark: SparkSession, paths: str | list[str] = "./*.parquet", variable: str | None = None, names: list[str] | None = None, project: str | None = None, convert_times: bool = False, load_all: bool = False, chunks: int | None = None) -> dict[str, DataFrame]:
         """``convert_times``: files without a time take the date in their names.  ``chunks``: partitions of each dataset.  ``load_all``: kept in memory."""
         patterns = [paths] if isinstance(paths, str) else list(paths)
         if project:
-            groups = self._of_project(spark, registry["metadata"][project], patterns, convert_times)
+            groups = self._of_project(spark, registry["metadata"][project], patterns, convert_times, variable)
         else:
             # Each path that is given is a dataset, of all files that it names; one pattern alone gives one a file.
             found = [listing(spark, p) for p in patterns]
@@ -103,17 +104,18 @@ class LocalFileSource(DataSource):
             if not all(found):
                 raise ValueError(f"no files at {patterns}")
             own = names or names_from_paths([f[0] for f in found] if len(patterns) == 1 else patterns)
-            groups = {n: _read(spark, f) for n, f in zip(own, found, strict=True)}
+            groups = {n: _read(spark, f, variable) for n, f in zip(own, found, strict=True)}
         if chunks:
             groups = {n: d.repartition(chunks) for n, d in groups.items()}
         return {n: d.persist() for n, d in groups.items()} if load_all and not chunks else groups
 
     @staticmethod
-    def _of_project(spark: SparkSession, extractor: Extractor, patterns: list[str], convert_times: bool) -> dict[str, DataFrame]:
+    def _of_project(spark: SparkSession, extractor: Extractor, patterns: list[str], convert_times: bool, variable: str | None) -> dict[str, DataFrame]:
         from dataclasses import replace
 
-        extractor = replace(extractor, ext=".parquet").at(*patterns)
-        rows = extractor.data(spark).orderBy("filename").collect()
+        rows = []
+        for ext in (".parquet", ".nc"):
+            rows += replace(extractor, ext=ext).at(*patterns).data(spark).where(F.endswith("filename", F.lit(ext))).orderBy("filename").collect()
         groups: dict[str, list[str]] = {}
         for r in rows:
             groups.setdefault(r[extractor.naming], []).append(r["filename"])
@@ -121,7 +123,7 @@ class LocalFileSource(DataSource):
         for name in sorted(groups):
             tables = []
             for path in groups[name]:
-                t = _read(spark, [path])
+                t = _read(spark, [path], variable)
                 if convert_times and not {*t.columns} & {"time", "times", "date", "dates", "julian"}:
                     day = next(r["time"] for r in rows if r["filename"] == path).split("-")[0]
                     t = t.withColumn("time", F.try_to_date(F.lit(day), {4: "yyyy", 6: "yyyyMM", 8: "yyyyMMdd"}[len(day)]))

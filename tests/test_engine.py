@@ -23,7 +23,7 @@ from gridspark.model import Ensemble, concat
 from gridspark.operators import regrid, spatial, timeops
 from gridspark.plans.catalog import ORACLE, QUERIES
 from gridspark.registry import Registry, register, registry
-from gridspark.sources import load_bucket, load_esgf, load_intake, load_intake_esm, load_local, names_from_paths, select_variable
+from gridspark.sources import load_bucket, load_esgf, load_intake, load_intake_esm, load_local, names_from_paths, netcdf, select_variable
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,6 +274,105 @@ def test_local_files(spark, tmp_path):
         load_local(spark, [f"{tmp_path}/x_mon_m1_h_r_200001-200006.parquet", "a.nc"], names=["a", "b"]) if (tmp_path / "a.nc").write_text("") is None else load_local(spark, f"{tmp_path}/*.nc")
 
 
+def _cdf(path, version, dims, variables, records=0, unknown=False):
+    """A classic NetCDF file, written field by field; ``variables``: name -> (dims, type, attributes, array)."""
+    n, off = (">q", ">q") if version == 5 else (">i", ">i" if version == 1 else ">q")
+    kinds = {"i1": 1, "S1": 2, ">i2": 3, ">i4": 4, ">f4": 5, ">f8": 6, ">i8": 10}
+    pad = lambda b: b + b"\0" * (-len(b) % 4)
+    num = lambda v: struct.pack(n, v)
+    text = lambda t: num(len(t)) + pad(t.encode())
+
+    def attributes(a):
+        out = struct.pack(">i", 12 if a else 0) + num(len(a))
+        for k, v in a.items():
+            v = np.frombuffer(v.encode(), "S1") if isinstance(v, str) else np.atleast_1d(v)
+            out += text(k) + struct.pack(">i", kinds["S1" if v.dtype.kind == "S" else v.dtype.str if v.dtype.itemsize > 1 else "i1"]) + num(len(v)) + pad(v.tobytes())
+        return out
+
+    names = list(dims)
+    variables = {k: (d, kind, a, v.astype(kind)) for k, (d, kind, a, v) in variables.items()}
+    alone = sum("time" in d[:1] and dims["time"] == 0 for d, *_ in variables.values()) == 1
+    each = lambda d, a: a[:1].tobytes() if dims[d[0]] == 0 else a.tobytes()
+
+    def header(begins):
+        out = b"CDF" + bytes([version]) + num(-1 if unknown else records) + struct.pack(">i", 10) + num(len(dims)) + b"".join(text(k) + num(v) for k, v in dims.items())
+        out += attributes({"title": "t"}) + struct.pack(">i", 11) + num(len(variables))
+        for k, (d, kind, a, values) in variables.items():
+            out += text(k) + num(len(d)) + b"".join(num(names.index(x)) for x in d) + attributes(a) + struct.pack(">i", kinds[kind]) + num(len(pad(each(d, values)))) + struct.pack(off, begins[k])
+        return out
+
+    at, begins, body = len(header(dict.fromkeys(variables, 0))), {}, b""
+    for k, (d, _, _, a) in variables.items():
+        if dims[d[0]] != 0:
+            begins[k], body = at + len(body), body + pad(a.tobytes())
+    of_records = {k: v for k, v in variables.items() if dims[v[0][0]] == 0}
+    start = at + len(body)
+    for k, (_, _, _, a) in of_records.items():
+        begins[k], start = start, start + (len(a[:1].tobytes()) if alone else len(pad(a[:1].tobytes())))
+    for r in range(records):
+        for _, _, _, a in of_records.values():
+            body += a[r : r + 1].tobytes() if alone else pad(a[r : r + 1].tobytes())
+    path.write_bytes(header(begins) + body)
+
+
+@pytest.mark.parametrize(("version", "unknown"), [(1, False), (2, True), (5, False)])
+def test_netcdf(spark, tmp_path, version, unknown):
+    lat, lon = np.array([-10.0, 0.0, 10.0], ">f8"), np.array([100.0, 200.0], ">f4")
+    packed = np.arange(12, dtype=">i2").reshape(2, 3, 2)
+    packed[0, 1, 1], packed[1, 2, 0] = -1, -32767  # missing as marked, and never written
+    clt = {"scale_factor": np.array(0.5, ">f8"), "add_offset": np.array(10.0, ">f4"), "missing_value": np.array(-1, ">i2"), "coordinates": "height"}
+    bounds = np.zeros((2, 2), ">f8")
+    variables = {
+        "lat": (["lat"], ">f8", {"units": "degrees_north"}, lat), "lon": (["lon"], ">f4", {}, lon),
+        "time": (["time"], ">f8", {"units": "days since 2001-01-31 12:00", "bounds": "time_bnds"}, np.array([0.0, 31.25], ">f8")),
+        "time_bnds": (["time", "nv"], ">f8", {}, bounds), "odd": (["time", "nv"], "i1", {"units": "1"}, np.ones((2, 2), "i1")),
+        "clt": (["time", "lat", "lon"], ">i2", clt, packed),
+    }
+    dims = {"time": 0, "lat": 3, "lon": 2, "nv": 2}
+    for name in "ab":
+        _cdf(tmp_path / f"clt_mon_{name}_h_r_200101-200102.nc", version, dims, variables, 2, unknown)
+    e = load_local(spark, f"{tmp_path}/*.nc", variable="clt")
+    times = [dt.datetime(2001, 1, 31, 12), dt.datetime(2001, 3, 3, 18)]
+    want = {(t, -160.0 if x == 200 else x, y): None if packed[k, j, i] < 0 else 10 + 0.5 * packed[k, j, i] for k, t in enumerate(times) for j, y in enumerate(lat) for i, x in enumerate(lon)}
+    for name in "ab":
+        assert {tuple(r)[:3]: r.value for r in e[name].select("time", "x", "y", "value").collect()} == want and e[name].count() == 12
+    assert load_local(spark, str(tmp_path), project="CMIP5", variable="clt").names == ["a", "b"]
+    with pytest.raises(ValueError, match="name one"):
+        load_local(spark, f"{tmp_path}/*.nc")
+    with pytest.raises(ValueError, match="no variable"):
+        load_local(spark, f"{tmp_path}/*.nc", variable="pr")
+    whole = (tmp_path / "clt_mon_a_h_r_200101-200102.nc").read_bytes()
+    if not unknown:
+        (tmp_path / "cut.cdf").write_bytes(whole[:-8])
+        with pytest.raises(Exception, match="the file ends within"):
+            load_local(spark, f"{tmp_path}/cut.cdf", variable="clt").cells.collect()
+    (tmp_path / "short.cdf").write_bytes(whole[:90])
+    with pytest.raises(ValueError, match="ends within its header"):
+        load_local(spark, f"{tmp_path}/short.cdf")
+    # One record variable alone stands without padding; a dimension without a variable gives places; coordinates of two dimensions come along.
+    places = np.arange(6, dtype=">f8").reshape(2, 3)
+    alone = {"nav_lon": (["j", "i"], ">f8", {}, places), "nav_lat": (["j", "i"], ">f8", {}, places + 1), "v": (["time", "j", "i"], ">i2", {"coordinates": "nav_lon nav_lat"}, np.arange(18, dtype=">i2").reshape(3, 2, 3)), "text": (["i"], "S1", {}, np.array([b"a", b"b", b"c"], "S1"))}
+    _cdf(tmp_path / "alone.cdf", version, {"time": 0, "j": 2, "i": 3}, alone, 3, unknown)
+    got = sorted(tuple(r) for r in netcdf.read_netcdf(spark, [f"{tmp_path}/alone.cdf"]).select("time", "j", "i", "nav_lon", "nav_lat", "v").collect())
+    assert got == [(t, j, i, j * 3.0 + i, j * 3.0 + i + 1, float(t * 6 + j * 3 + i)) for t in range(3) for j in range(2) for i in range(3)]
+
+
+def test_times_of_calendars():
+    at = lambda n, units, calendar="standard": [str(v)[:19] for v in netcdf.decode_times(np.array(n, "f8"), units, calendar)]
+    assert at([0.5, np.nan], "days since 2000-02-29") == ["2000-02-29T12:00:00", "NaT"]
+    assert at([6], "hours since 1999-12-31 21:30:15") == ["2000-01-01T03:30:15"]
+    assert at([59, 365], "days since 2000-01-01", "noleap") == ["2000-03-01T00:00:00", "2001-01-01T00:00:00"]
+    assert at([59, 60], "days since 2001-01-01", "all_leap") == ["NaT", "2001-03-01T00:00:00"]
+    assert at([30, 59, 360], "days since 2001-01-01", "360_day") == ["2001-02-01T00:00:00", "NaT", "2002-01-01T00:00:00"]
+    assert at([0, 13], "months since 1999-12-01") == ["1999-12-01T00:00:00", "2001-01-01T00:00:00"]
+    # 14 October 1582 never was: the day after the 4th is the 15th.
+    assert at([0, 1], "days since 1582-10-04") == ["1582-10-14T00:00:00", "1582-10-15T00:00:00"]
+    assert at([730120], "days since 0001-01-01", "proleptic_gregorian") == ["2000-01-02T00:00:00"] and at([730122], "days since 1-1-1") == ["2000-01-02T00:00:00"]
+    for bad in ((0.5, "months since 2000-01-01", "standard"), (1, "fortnights since 2000-01-01", "standard"), (1, "days since 2000-01-01", "julian")):
+        with pytest.raises(ValueError):
+            at([bad[0]], *bad[1:])
+
+
 def test_other_sources(spark, tmp_path):
     cells = _months(spark).drop("name")
     cells.write.parquet(f"{tmp_path}/a.parquet")
