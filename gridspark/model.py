@@ -118,7 +118,7 @@ class Ensemble:
         return self._carry(self._with(self.cells.withColumn("x", turn("x")), axes=axes))
 
     def subset(self, domain: Bounds | None = None) -> Ensemble:
-        domain = domain or spatial.overlap_bounds(self.cells, self.axes)
+        domain = domain or spatial.overlap_bounds(self.cells, None if self._axes is None else self.axes)  # least and largest need no axes
         axes = None
         if type(domain) is Bounds and self._axes is not None:
             at, is_ = F.col("at"), lambda a: F.col("axis") == a
@@ -142,7 +142,7 @@ class Ensemble:
     def select_season(self, season=None, mode: str = "intended") -> Ensemble:
         if not season:
             return self
-        years = timeops.season_years(self.axes)
+        years = timeops.season_years(axis(self.axes, "time"))
         return self._carry(self._with(timeops.select_season(self.cells, season, mode, years=years), axes=self._times(lambda t: timeops.select_season(t, season, mode, years=years))))
 
     def resample(self, freq: str | None = None, gaps: bool = True, reference: str | None = None, how=F.avg) -> Ensemble:

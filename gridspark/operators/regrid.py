@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..axes import axis, bracket, for_each_name, known
 from ..registry import register, registry
-from ..tables import remove, small
+from ..tables import materialize, remove, small
 
 
 def grid_of(cells: DataFrame) -> DataFrame:
@@ -237,8 +237,6 @@ def regrid(cells: DataFrame, target: DataFrame, method: str | None = None, backe
         return cells.select(*columns)
     out = regridder(cells.where(F.col("name").isin(rest)), axes.where(F.col("name").isin(rest))).select(*columns)
     if clean:
-        from ..tables import materialize
-
         out = materialize(out, "regridded")
         regridder.clean()
     return out.unionByName(cells.where(F.col("name").isin(same)).select(*columns)) if same else out
@@ -248,9 +246,10 @@ def on_grid(axes: DataFrame, goal: DataFrame) -> DataFrame:
     """``name, same``: whether a dataset's axes are those of the target, by fingerprints of both."""
     mark = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: v.cast("double").cast("string")), ","), 256)
     at = lambda a: F.when(F.col("axis") == a, F.col("at"))
-    both = F.concat(mark(at("x")), mark(at("y"))).alias("mark")
-    wanted = goal.agg(both).select("mark").scalar()
-    return axes.groupBy("name").agg(both).select("name", (F.col("mark") == wanted).alias("same"))
+    rows = axes.select("name", "axis", "at", F.lit(False).alias("goal")).union(goal.select("name", "axis", "at", F.lit(True).alias("goal")))
+    marks = rows.groupBy("goal", "name").agg(F.concat(mark(at("x")), mark(at("y"))).alias("mark"))
+    wanted = F.max(F.when(F.col("goal"), F.col("mark"))).over(Window.partitionBy())  # a row a dataset
+    return marks.select("goal", "name", (F.col("mark") == wanted).alias("same")).where("not goal").select("name", "same")
 
 
 def nearest_by_distance(cells: DataFrame, target: DataFrame, radius: float = 50_000.0, axes: DataFrame | None = None) -> DataFrame:

@@ -92,14 +92,14 @@ def decode_month_units(df: DataFrame, units: str, column: str = "time") -> DataF
     return df.withColumn(column, F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
-def season_years(axes: DataFrame) -> DataFrame:
-    """``name, years``: the first and last year of each dataset, computed once."""
+def season_years(times: DataFrame) -> DataFrame:
+    """``name, years``: the first and last year of each dataset in ``name, time``, computed once."""
     years = F.struct(F.min(F.year("time")).alias("first"), F.max(F.year("time")).alias("last"))
-    return small(axis(axes, "time").groupBy("name").agg(years.alias("years")), "years")
+    return small(times.groupBy("name").agg(years.alias("years")), "years")
 
 
 def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode: str = "intended", axes: DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
-    """The months of a season, cut to whole seasons at both ends of each dataset's years (``years``, else those of ``axes``).
+    """The months of a season, cut to whole seasons at both ends of each dataset's years (``years``, else those of ``axes`` or the cells).
 
     ``literal`` compares years and months as unpadded text does.
     """
@@ -107,7 +107,7 @@ def select_season(cells: DataFrame, season: str | tuple[int, int] | None, mode:
         return cells
     ms, me = season_months(season)
     y, m, ys, ye = F.year("time"), F.month("time"), F.col("years.first"), F.col("years.last")
-    years = season_years(known(cells, axes)) if years is None else years
+    years = season_years(cells if axes is None else axis(axes, "time")) if years is None else years
     wanted = m.between(ms, me) if ms <= me else (m >= ms) | (m <= me)
     if mode == "intended":
         cut = (y * 100 + m >= ys * 100 + ms) & (y * 100 + m <= ye * 100 + me)
@@ -151,7 +151,7 @@ def resample(cells: DataFrame, freq: str, gaps: bool = True, how: Callable[[Colu
     if n > 1 and unit not in _UNITS:
         raise ValueError("multiples of days and shorter only")
     kind = cells.schema["time"].dataType.simpleString()
-    times = axis(known(cells, axes), "time") if unit in _UNITS else None
+    times = cells if axes is None else axis(axes, "time")
     out = binned(times, cells, n, unit).groupBy("name", "time", "x", "y").agg(how(F.col("value")).alias("value"))
     if gaps:
         out = materialize(out, "resampled")  # ends, grid and values are taken from the means, not from the cells again
