@@ -18,23 +18,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import materialize
 
 DIMENSIONS = 1024
 SEED = 20240229
 #: Prototypes are sent to every worker: so many languages at most (4096 of 8 KB are 32 MB).
 MOST_LANGUAGES = 4096
 UNDETERMINED = "und"
-#: Labelled rows that the least cosines are taken from (a sample by hash of the text), and the rows that a length needs for its own.
-MOST_SAMPLED, LEAST_SAMPLED = 20_000, 200
+#: Labelled rows that a length needs for a least cosine of its own.
+LEAST_LABELLED = 200
 #: The least cosine of any text (unrelated vectors have 0.03), and what of the lowest ones of a length still counts as language.
 LEAST_COSINE, LOWEST, SLACK = 0.05, 0.001, 0.8
 #: Letter classes: a-z, other letters of Latin scripts (hashed), and letters of all other scripts (hashed).
 LATIN, CLASSES = 64, 4096
 _UNIT = float(1 << 24)
+#: Cosines are counted first without so many of their last bits: 2048 bins between a power of two and the next.
+_BIN_BITS = 12
 #: Bound vectors widened at once, and counts held at once.
 _WIDEN, _COUNTS = 2048, 1 << 21
 
@@ -210,30 +213,60 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return np.frexp(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(float))[1]
 
 
+def _lowest(keys: DataFrame, share: float) -> list[tuple[int, int, float]]:
+    """(digits, number of cosines, the cosine that ``share`` of them are below) of each length, exact and interpolated as ``percentile`` does.
+
+    ``keys`` has a column ``key``: the digits above the 32 bits of a cosine, whose order is that of
+    cosines from 0 up.  They are counted in bins, then one by one in the few bins that hold the
+    ranks asked for, so no place gets all cosines of a length.
+    """
+    bin_of = F.shiftright("key", _BIN_BITS)
+
+    def counted(rows: DataFrame, by: Column) -> np.ndarray:
+        found = [(r.by, r.n) for r in rows.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        return np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+
+    def nth(table: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        return table[np.searchsorted(np.cumsum(table[:, 1]), ranks, side="right"), 0]
+
+    bins = counted(keys, bin_of)
+    if not len(bins):
+        return []
+    digits, first = np.unique(bins[:, 0] >> 32 - _BIN_BITS, return_index=True)
+    n = np.add.reduceat(bins[:, 1], first)
+    position = (n - 1) * share
+    ranks = (np.cumsum(n) - n + np.stack([np.floor(position), np.ceil(position)])).astype(np.int64)
+    met = np.unique(nth(bins, ranks))
+    rest = bins[~np.isin(bins[:, 0], met)] * [1 << _BIN_BITS, 1]
+    table = np.concatenate([rest, counted(keys.where(bin_of.isin(met.tolist())), F.col("key"))])
+    low, high = (nth(table[table[:, 0].argsort()], ranks) & 0xFFFFFFFF).astype(np.uint32).view(np.float32).astype(float)
+    return list(zip(digits.tolist(), n.tolist(), (low + (position - np.floor(position)) * (high - low)).tolist(), strict=True))
+
+
 def least_cosines(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
     """The cosine that a text needs to be in a language at all, by the binary digits of its length.
 
-    Longer texts come nearer to their language, so what is far from all there is in none.  Of
+    Longer texts come nearer to their language, so what is far from all there is in none.  Of all
     labelled texts of each length the lowest ``LOWEST`` set the bound, less some slack; a length of
     too few has that of the shorter ones.
     """
     names, prototypes = model
     shared = rows.sparkSession.sparkContext.broadcast((names, prototypes))
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    share = min(1.0, MOST_SAMPLED / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = classify(b.column(0), *shared.value)
             ok = np.array([x != UNDETERMINED for x in langs], dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(_lengths(b.column(0))[ok], pa.int32()), pa.array(np.array(scores, dtype=float)[ok])], ["digits", "cosine"])
+            bits = (np.array(scores, dtype=np.float32) + np.float32(0)).view(np.int32)  # no -0.0, whose bits sort last
+            key = _lengths(b.column(0)).astype(np.int64) << 32 | bits
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok], pa.int64())], ["key"])
 
-    found = sample.select("text").mapInArrow(run, "digits int, cosine double").groupBy("digits").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.lit(LOWEST)).alias("low")).collect()
+    keys = materialize(rows.select("text").mapInArrow(run, "key long"), "cosines")
     least = np.full(64, LEAST_COSINE)
-    for r in found:
-        if r.n >= LEAST_SAMPLED:
-            least[r.digits] = max(LEAST_COSINE, SLACK * r.low)
+    for digits, n, low in _lowest(keys, LOWEST):
+        if n >= LEAST_LABELLED:
+            least[digits] = max(LEAST_COSINE, SLACK * low)
     return np.maximum.accumulate(least)
 
 

@@ -680,3 +680,38 @@ def test_gibberish_and_unknown_languages_go(spark):
     kept = {r.doc_id for r in language_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), model, least).collect()}
     assert kept == {100, 101, 102}
     assert language_id.keep_identified(docs, model, least).count() >= 0.995 * docs.where("text rlike '[a-zA-Z]'").count()
+
+
+def test_least_cosines_come_from_all_labelled_rows(spark, empty):
+    rnd = random.Random(15)
+    words = {x: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(300)] for x, letters in (("de", "aeinrstz"), ("en", "aehiotwy"))}
+    rows = [(" ".join(rnd.choices(words[x], k=rnd.choice((3, 12, 40)))), x) for x in ("de", "en") for _ in range(13_000)]
+    rows += [(rows[0][0], "en")] * 3000 + [("zq " * rnd.randint(1, 90), None) for _ in range(500)] + [(None, "en"), ("", "de"), ("12 34", "en"), ("Ωμέγα και άλφα", "de")]
+    rnd.shuffle(rows)
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(7).cache()
+    model = language_id.learn(d)
+    texts = [t for t, x in rows if t is not None and x is not None]
+    langs, scores = language_id.classify(pa.array(texts), *model)
+    by_length = collections.defaultdict(list)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        if lang != language_id.UNDETERMINED:
+            by_length[len(t.encode()).bit_length()].append(score)
+    want = np.full(64, language_id.LEAST_COSINE)
+    for digits, cosines in by_length.items():
+        if len(cosines) >= 200:
+            want[digits] = max(language_id.LEAST_COSINE, language_id.SLACK * np.percentile(cosines, 100 * language_id.LOWEST))
+    assert len(texts) > 20_000 and len(np.unique(want)) > 3
+    assert np.allclose(language_id.least_cosines(d, model), np.maximum.accumulate(want), rtol=0, atol=1e-6)
+    assert (language_id.least_cosines(empty, language_id.learn(empty)) == language_id.LEAST_COSINE).all()
+
+
+def test_lowest_cosines_are_exact_percentiles(spark):
+    rnd = np.random.default_rng(16)
+    cosines = {3: np.zeros(5), 5: np.array([0.25]), 8: np.repeat([0.5, 0.75], [1, 999]), 9: rnd.random(5000), 10: 0.6 + rnd.random(4000) / 1e5, 12: np.append(rnd.random(300), 1.0)}
+    cosines = {d: c.astype(np.float32) for d, c in cosines.items()}
+    keys = spark.createDataFrame([(d << 32 | int(bits),) for d, c in cosines.items() for bits in c.view(np.int32)], "key long").repartition(5)
+    for share in (0.0, 0.001, 0.37, 1.0):
+        got = language_id._lowest(keys, share)
+        assert [(d, n) for d, n, _ in got] == [(d, len(c)) for d, c in cosines.items()]
+        assert np.allclose([low for *_, low in got], [np.percentile(c.astype(float), 100 * share) for c in cosines.values()], rtol=0, atol=1e-12)
+    assert language_id._lowest(keys.limit(0), 0.001) == []
